@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from lodestack.llm import simhash
+from lodestack.llm import mixing, quality, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_query,
+    "op4_quality_rules": quality.op4_query,
+    "op8_source_mixing": mixing.op8_query,
 }
 
 #: Only what SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality.ORACLE,
+    "op8_source_mixing": mixing.ORACLE,
+}
