@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestack.llm import langid, mixing, packing, quality, simhash
+from lodestack.llm import langid, mixing, ngram, packing, quality, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_query,
     "op3_language_id": langid.op3_query,
     "op4_quality_rules": quality.op4_query,
+    "op5_lm_scoring": ngram.op5_query,
     "op7_mixture_packing": packing.op7_query,
     "op8_source_mixing": mixing.op8_query,
 }
