@@ -8,37 +8,43 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import pin
 
 
+#: Rows of a task; the tables here shrink from round to round, and so do their numbers of tasks.
+ROWS_PER_TASK = 200_000
+
+
+def _tasks(df: DataFrame) -> int:
+    return -(-df.count() // ROWS_PER_TASK)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``links(a long, b long)`` -> ``(node, comp)`` for every node of a link; comp is the least node reachable.
 
     Each round hooks every component to its least neighbour, flattens the resulting trees by pointer
-    doubling, then contracts the links. Only the number of remaining links comes to the driver. Self
-    links, repeated links and an empty table are allowed; null ends are dropped.
+    doubling, then contracts the links. Only numbers of rows come to the driver. Self links, repeated
+    links and an empty table are allowed; null ends are dropped.
     """
     edges = pin(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
-    while True:
-        if edges.isEmpty():
-            break
+    while tasks := _tasks(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = pin(both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("p")))
+        hooked = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("p"))
+        parent = pin(hooked.coalesce(tasks))
         while True:
-            up = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            jumped = pin(parent.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+            once = parent.join(parent.select(F.col("c").alias("p"), F.col("p").alias("p2")), "p")
+            twice = once.join(parent.select(F.col("c").alias("p2"), F.col("p").alias("p3")), "p2")
+            jumped = pin(twice.select("c", F.col("p3").alias("p"), (F.col("p") != F.col("p3")).alias("moved")).coalesce(tasks))
             parent = jumped.select("c", "p")
             if jumped.where("moved").isEmpty():
                 break
         if labels is None:
             labels = parent.select(F.col("c").alias("node"), F.col("p").alias("comp"))
+            width = tasks
         else:
             step = parent.select(F.col("c").alias("comp"), "p")
-            labels = labels.join(step, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
-        labels = pin(labels)
+            labels = pin(labels.join(step, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")).coalesce(width))
         pa, pb = parent.select(F.col("c").alias("a"), F.col("p").alias("pa")), parent.select(F.col("c").alias("b"), F.col("p").alias("pb"))
-        edges = pin(
-            edges.join(pa, "a").join(pb, "b").where("pa <> pb")
-            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        )
+        contracted = edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        edges = pin(contracted.distinct().coalesce(tasks))
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return labels
