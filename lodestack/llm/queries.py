@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestack.llm import langid, mixing, ngram, packing, quality, simhash
+from lodestack.llm import html, langid, mixing, ngram, packing, quality, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_query,
     "op3_language_id": langid.op3_query,
     "op4_quality_rules": quality.op4_query,
     "op5_lm_scoring": ngram.op5_query,
+    "op6_html_extraction": html.op6_query,
     "op7_mixture_packing": packing.op7_query,
     "op8_source_mixing": mixing.op8_query,
 }
