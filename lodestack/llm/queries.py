@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestack.llm import html, langid, mixing, ngram, packing, quality, simhash
+from lodestack.llm import html, langid, media, mixing, ngram, packing, quality, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_query,
+    "op2_media_webp": media.op2_query,
     "op3_language_id": langid.op3_query,
     "op4_quality_rules": quality.op4_query,
     "op5_lm_scoring": ngram.op5_query,
