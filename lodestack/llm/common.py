@@ -59,53 +59,46 @@ def word_count(text: Column) -> Column:
     )
 
 
-def running_totals(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the rows of the same group that come earlier.
+def running_totals(df: DataFrame, group: list[str], order: list[str], values: str | list[str], outs: str | list[str]) -> DataFrame:
+    """Add ``outs``: the sums of ``values`` over the rows of the same group that come earlier.
 
     A distributed prefix scan. Rows are range-partitioned by (group, order), so a hot group spreads over
     many partitions; each partition sums on its own; the totals of (partition, group), at most partitions
     plus groups rows, are scanned and added back. ``group`` columns must not be null; rows that tie on
     ``order`` must be interchangeable. Order and group columns stay in the result.
     """
-    spark = df.sparkSession
+    values, outs = ([values], [outs]) if isinstance(values, str) else (values, outs)
+    local = [f"_rt_local{i}" for i in range(len(values))]
     keys = [*group, *order]
-    ranged = df.repartitionByRange(shuffle_width(spark), *keys) if keys else df.repartition(1)
-    ranged = ranged.sortWithinPartitions(*keys)
-    schema = T.StructType([*ranged.schema.fields, T.StructField("_rt_pid", T.IntegerType()), T.StructField("_rt_local", T.LongType())])
+    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_rt_pid", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in local)])
 
     def scan(batches):
         from pyspark import TaskContext
 
-        pid, last, carry = TaskContext.get().partitionId(), None, 0
+        pid, last, carry = TaskContext.get().partitionId(), None, [0] * len(values)
         for pdf in batches:
             if not len(pdf):
                 continue
-            v = pdf[value].astype("int64")
-            total = v.cumsum()
+            new = pd.Series(False, index=pdf.index)
+            for g in group:
+                new |= pdf[g].ne(pdf[g].shift())
             if group:
-                new = pd.Series(False, index=pdf.index)
-                for g in group:
-                    new |= pdf[g].ne(pdf[g].shift())
-                first = tuple(pdf[g].iloc[0] for g in group)
-                new.iloc[0] = first != last
-                base = (total - v).where(new).ffill()
-                head = base.isna()
-                local = (total - v) - base.fillna(0).astype("int64")
-                local = local + head.astype("int64") * carry
+                new.iloc[0] = tuple(pdf[g].iloc[0] for g in group) != last
                 last = tuple(pdf[g].iloc[-1] for g in group)
-            else:
-                local = (total - v) + carry
-            local = local.astype("int64")
-            carry = int(local.iloc[-1] + v.iloc[-1])
-            pdf["_rt_pid"], pdf["_rt_local"] = pid, local
-            yield pdf
+            for i, value in enumerate(values):
+                v = pdf[value].astype("int64")
+                before = v.cumsum() - v
+                base = before.where(new).ffill()
+                held = (before - base.fillna(0).astype("int64") + base.isna().astype("int64") * carry[i]).astype("int64")
+                carry[i] = int(held.iloc[-1] + v.iloc[-1])
+                pdf[local[i]] = held
+            pdf["_rt_pid"] = pid
+            yield pdf[[f.name for f in schema.fields]]
 
     scanned = pin(ranged.mapInPandas(scan, schema))
-    totals = scanned.groupBy("_rt_pid", *group).agg(F.sum(value).alias("_rt_sum"))
+    totals = scanned.groupBy("_rt_pid", *group).agg(*(F.sum(v).alias(f"_rt_sum{i}") for i, v in enumerate(values)))
     w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_rt_pid").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_rt_pid", *group, F.coalesce(F.sum("_rt_sum").over(w), F.lit(0)).alias("_rt_before"))
-    return (
-        scanned.join(before, ["_rt_pid", *group])
-        .withColumn(out, F.col("_rt_before") + F.col("_rt_local"))
-        .drop("_rt_pid", "_rt_local", "_rt_before")
-    )
+    before = totals.select("_rt_pid", *group, *(F.coalesce(F.sum(f"_rt_sum{i}").over(w), F.lit(0)).alias(f"_rt_before{i}") for i in range(len(values))))
+    added = scanned.join(before, ["_rt_pid", *group])
+    return added.select(*df.columns, *((F.col(f"_rt_before{i}") + F.col(c)).alias(o) for i, (c, o) in enumerate(zip(local, outs, strict=True))))
