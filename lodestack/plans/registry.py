@@ -1,6 +1,576 @@
-"""All queries of the engine by name, with the SQL that gives the same rows."""
+"""All queries of the engine over the test tables by name, with the SQL that gives the same rows.
+
+Adapters give the tables the roles of the engine's own: documents are the catalog (type = language, body =
+source), embeddings the chunk vectors (four per document), pages the observed sources (group = host),
+benchmark the quotations, labels a partial registry, the star schema a graph.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestack.functions import text as tx
+from lodestack.operators import catalog, chunks, drift, graph, search, validation, vectors
+
+SENTINELS = ["src15"]
+QUERY = "the reanst"
+PHRASE_QUERY = "of the and"
+VOLATILE = [r"track\([0-9]+\)", r"<!-- ad [0-9]+ -->", r"(?s)<footer>.*"]
+SCHEMES = [("parts", r"Brand#(\d+)", "brand-$1"), ("priorities", r"^(\d)-[A-Z]+", "priority-$1")]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    mode = F.when(F.col("n_chars") < 500, "summary").when(F.col("n_chars") < 3200, "mixed").otherwise("verbatim")
+    return d.select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("doc_type"), F.col("source").alias("issuing_body_slug"), mode.alias("content_mode"),
+        F.col("text").alias("body"), F.col("n_chars").alias("body_chars"),
+    )
+
+
+_DOCS = "(select doc_id as id, lang as doc_type, source as issuing_body_slug, case when n_chars<500 then 'summary' when n_chars<3200 then 'mixed' else 'verbatim' end as content_mode, text as body, n_chars as body_chars from documents)"
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    return spark.range(15).select(F.concat(F.lit("src"), "id").alias("slug"))
+
+
+_REGISTRY = "(select 'src' || i as slug from range(15) t(i))"
+
+
+def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose owner is known only where labels covers them."""
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit(True).alias("_has")).distinct()
+    d = docs(spark, sf_dir).join(known, "id", "left")
+    return d.withColumn("issuing_body_slug", F.when(F.col("_has"), F.col("issuing_body_slug"))).drop("_has")
+
+
+_ATTRIBUTED = f"(select d.* replace (case when l.doc_id is not null then issuing_body_slug end as issuing_body_slug) from {_DOCS} d left join (select distinct doc_id from labels) l on l.doc_id = d.id)"
+_BUCKETS = f"""(select count(*) as total, count(*) filter (issuing_body_slug is null) as unattributed, count(*) filter (issuing_body_slug='src15') as declared_no_body,
+ count(*) filter (issuing_body_slug<>'src15' and r.slug is not null) as in_registry, count(*) filter (issuing_body_slug<>'src15' and r.slug is null) as no_registry_entry
+ from {_ATTRIBUTED} d left join {_REGISTRY} r on r.slug = d.issuing_body_slug)"""
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---- catalog ------------------------------------------------------------------------------------
+
+
+@query("overview_by_type", f"select doc_type, count(*) as n from {_DOCS} group by 1")
+def _(s, d):
+    return catalog.counts_by(docs(s, d), "doc_type")
+
+
+@query("overview_by_mode", f"select content_mode, count(*) as n from {_DOCS} group by 1")
+def _(s, d):
+    return catalog.counts_by(docs(s, d), "content_mode")
+
+
+@query("coverage_buckets", f"select * from {_BUCKETS}")
+def _(s, d):
+    return catalog.coverage(attributed(s, d), registry(s), SENTINELS)
+
+
+@query("coverage_without_registry", f"select total, unattributed, declared_no_body, null::bigint as in_registry, null::bigint as no_registry_entry from {_BUCKETS}")
+def _(s, d):
+    return catalog.coverage(attributed(s, d), None, SENTINELS)
+
+
+@query("completeness_verdict", f"select total, unattributed, no_registry_entry, case when total=0 then null else no_registry_entry=0 and unattributed=0 end as complete from {_BUCKETS}")
+def _(s, d):
+    return catalog.completeness(catalog.coverage(attributed(s, d), registry(s), SENTINELS)).select("total", "unattributed", "no_registry_entry", "complete")
+
+
+@query("holdings_by_slug", f"select content_mode, count(*) as n from {_DOCS} where issuing_body_slug='src3' group by 1")
+def _(s, d):
+    return catalog.holdings(docs(s, d), "src3")
+
+
+@query("documents_for_slug_page", f"select id, doc_type, count(*) over () as total from {_DOCS} where issuing_body_slug='src3' order by id limit 10 offset 5")
+def _(s, d):
+    return catalog.page_for_slug(docs(s, d), "src3", 10, 5).select("id", "doc_type", "total")
+
+
+@query("health_empty_by_type", f"select doc_type, count(*) as n, count(*) filter (body_chars=0) as empty, count(*) = count(*) filter (body_chars=0) as problem from {_DOCS} group by 1")
+def _(s, d):
+    return catalog.health(docs(s, d))
+
+
+@query("resolved_slug", f"""select id, case when issuing_body_slug='src15' then issuing_body_slug when issuing_body_slug is not null and r.slug is not null then issuing_body_slug
+ else coalesce(case when id%3=0 then 'src' || (id%7) end, issuing_body_slug) end as slug from {_ATTRIBUTED} d left join {_REGISTRY} r on r.slug=d.issuing_body_slug""")
+def _(s, d):
+    joined = attributed(s, d).join(registry(s).select(F.col("slug").alias("_known")), F.col("issuing_body_slug") == F.col("_known"), "left")
+    path = F.when(F.col("id") % 3 == 0, F.concat(F.lit("src"), F.col("id") % 7))
+    return joined.select("id", catalog.resolved_slug(F.col("issuing_body_slug"), path, F.col("_known").isNotNull(), SENTINELS).alias("slug"))
+
+
+@query("body_profiles", f"select r.slug, coalesce(n,0) as n_documents from {_REGISTRY} r left join (select issuing_body_slug, count(*) as n from {_DOCS} group by 1) d on d.issuing_body_slug=r.slug")
+def _(s, d):
+    return catalog.profile(docs(s, d), registry(s))
+
+
+@query("overdue_documents", """select o_orderpriority as doc_type, count(*) as n, min(datediff('day', o_orderdate::date, date '2001-06-30')) as least_age, max(datediff('day', o_orderdate::date, date '2001-06-30')) as most_age
+ from orders where datediff('day', o_orderdate::date, date '2001-06-30') > 365 group by 1""")
+def _(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("doc_type"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("last_verified"))
+    late = catalog.overdue(o, "2001-06-30", 365, None)
+    return late.groupBy("doc_type").agg(F.count("*").alias("n"), F.min("age_days").alias("least_age"), F.max("age_days").alias("most_age"))
+
+
+@query("compact_index", f"select id, [left(body,20), doc_type, issuing_body_slug || '/' || id, content_mode] as entry from {_DOCS}")
+def _(s, d):
+    return catalog.compact_index(docs(s, d).select("id", F.substring("body", 1, 20).alias("title"), "doc_type", F.concat_ws("/", "issuing_body_slug", "id").alias("path"), F.col("content_mode").alias("status")))
+
+
+@query("fingerprint", f"select doc_type, sha256(string_agg(id || ':' || sha256(body), chr(10) order by id)) as fingerprint, count(*) as n from {_DOCS} group by 1")
+def _(s, d):
+    return catalog.fingerprint(docs(s, d))
+
+
+# ---- search -------------------------------------------------------------------------------------
+
+_TOKENS = rf"(select id, doc_type, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') as t from {_DOCS})"
+
+
+def _bm25(counts: list[str], where: str = "true", limit: int = 10) -> str:
+    cols = ",".join(f"{c} as c{i}" for i, c in enumerate(counts))
+    dfs = ",".join(f"count(*) filter (c{i}>0) as df{i}" for i in range(len(counts)))
+    score = "+".join(
+        f"(case when ln((n-df{i}+0.5)/(df{i}+0.5))<=0 then 1e-6 else ln((n-df{i}+0.5)/(df{i}+0.5)) end)*c{i}*2.2/(c{i}+1.2*(0.25+0.75*dl/avgdl))" for i in range(len(counts))
+    )
+    every = " and ".join(f"c{i}>0" for i in range(len(counts)))
+    return f"""with c as (select id, doc_type, len(t) as dl, {cols} from {_TOKENS}),
+ s as (select count(*) as n, avg(dl) as avgdl, {dfs} from c)
+ select id, round(-({score}), 6) as score from c, s where {every} and {where} order by -({score}), id limit {limit}"""
+
+
+def _tf(term: str) -> str:
+    return f"len(list_filter(t, lambda x: x = '{term}'))"
+
+
+@query("keyword_topk", _bm25([_tf("the"), _tf("reanst")]))
+def keyword_topk(s, d):
+    return search.keyword_search(docs(s, d), QUERY).select("id", F.round("score", 6).alias("score"))
+
+
+@query("keyword_filtered", _bm25([_tf("the"), _tf("reanst")], "doc_type = 'en'", 5))
+def _(s, d):
+    return search.keyword_search(docs(s, d), QUERY, 5, F.col("doc_type") == "en").select("id", F.round("score", 6).alias("score"))
+
+
+@query("keyword_repeated_term", _bm25([_tf("reanst"), _tf("reanst")]))
+def _(s, d):
+    return search.keyword_search(docs(s, d), "reanst reanst").select("id", F.round("score", 6).alias("score"))
+
+
+@query("keyword_phrase", _bm25(["len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i+1] = 'the'))", _tf("and")]))
+def _(s, d):
+    return search.keyword_search(docs(s, d), "of-the and").select("id", F.round("score", 6).alias("score"))
+
+
+@query("term_stats", f"select term, count(*) as df, sum(tf)::bigint as cf from (select id, term, count(*) as tf from (select id, unnest(t) as term from {_TOKENS}) group by 1,2) group by 1")
+def _(s, d):
+    return search.term_stats(docs(s, d))
+
+
+@query("postings", f"select term, id, list(p order by p) as positions, count(*) as tf from (select id, unnest(t) as term, unnest(range(0,len(t)))::int as p from {_TOKENS}) where term in ('reanst','the') group by 1,2")
+def _(s, d):
+    return search.postings(docs(s, d), ["reanst", "the"])
+
+
+@query("excerpt_window", f"""with e as (select id, unnest(t) as tok, unnest(range(0,len(t)))::int as pos from {_TOKENS}),
+ w as (select id, pos, sum((tok in ('the','of'))::int) over (partition by id order by pos rows between current row and 23 following) as hits from e)
+ select id, arg_max(pos, (hits, -pos)) as start, max(hits)::bigint as hits from w group by id""")
+def _(s, d):
+    return search.excerpt_windows(docs(s, d), ["the", "of"])
+
+
+_DOT = "list_sum(list_transform(range(1,65), lambda i: greatest(-127, least(127, round_even(v.embedding[i]::double*127,0))) * q.e[i]))"
+_SCORED = f"(select v.vec_id//4 as doc_id, v.vec_id%4 as ordinal, {_DOT} as score from embeddings v, (select list_transform(embedding, lambda x: x::double) as e from embeddings where vec_id=0) q)"
+
+
+def chunk_vectors(s, d):
+    v = table(s, d, "embeddings").select(F.expr("vec_id div 4").alias("doc_id"), (F.col("vec_id") % 4).alias("ordinal"), "embedding")
+    return vectors.quantized(v)
+
+
+def _query_vector(s, d) -> list[float]:
+    return [float(x) for x in table(s, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
+
+
+@query("vector_topk", f"select doc_id, ordinal, round(score,5) as score from {_SCORED} order by score desc, doc_id, ordinal limit 10")
+def _(s, d):
+    return vectors.top_vectors(chunk_vectors(s, d), _query_vector(s, d), 10).select("doc_id", "ordinal", F.round("score", 5).alias("score"))
+
+
+@query("vector_best_chunk", f"select doc_id, arg_max(ordinal, (score, -ordinal)) as ordinal, round(max(score),5) as score from {_SCORED} group by 1 order by max(score) desc, doc_id limit 10")
+def _(s, d):
+    return vectors.best_chunks(chunk_vectors(s, d), _query_vector(s, d), 10).select("doc_id", "ordinal", F.round("score", 5).alias("score"))
+
+
+@query("int8_quantize", "select vec_id, list_sum(list_transform(embedding, lambda x: greatest(-127, least(127, round_even(x::double*127,0)))))::bigint as total from embeddings")
+def _(s, d):
+    q = vectors.quantized(table(s, d, "embeddings"))
+    return q.select("vec_id", F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("hybrid_rrf", f"""with k as (select id, row_number() over (order by score, id) as rank from ({_bm25([_tf("the"), _tf("reanst")], limit=40)})),
+ v as (select doc_id as id, row_number() over (order by score desc, doc_id) as rank from (select doc_id, max(score) as score from {_SCORED} group by 1 order by 2 desc, 1 limit 40)),
+ u as (select id, rank, 0 as list from k union all select id, rank, 1 from v),
+ f as (select id, sum(1.0/(60+rank)) as rrf, min(list*1000+rank) as first from u group by id)
+ select id, round(rrf,6) as rrf from f order by rrf desc, first limit 10""")
+def _(s, d):
+    kw = search.ranked(search.keyword_search(docs(s, d), QUERY, 40).select("id", F.round("score", 6).alias("score")), ["score", "id"])
+    vec = search.ranked(vectors.best_chunks(chunk_vectors(s, d), _query_vector(s, d), 40).withColumnRenamed("doc_id", "id"), [F.desc("score"), "id"])
+    return search.fuse([kw, vec]).limit(10).select("id", F.round("rrf", 6).alias("rrf"))
+
+
+@query("search_with_excerpts")
+def _(s, d):
+    hits = search.ranked(search.keyword_search(docs(s, d), QUERY), ["score", "id"])
+    return search.excerpts(hits, docs(s, d), QUERY).select("rank", "id", F.round("score", 6).alias("score"), "snippet")
+
+
+@query("chunk_documents")
+def _(s, d):
+    units = chunks.units(docs(s, d).select("id", F.lit("").alias("title"), "body"))
+    return chunks.chunked(units).select("doc_id", "ordinal", "heading", F.length("text").alias("chars"), "preview")
+
+
+@query("hash_embeddings")
+def _(s, d):
+    turns = table(s, d, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.lit("").alias("title"), "text")
+    return vectors.embed(turns, 64).select("conv_id", "ordinal", "vec")
+
+
+# ---- pages: text, hashes, drift -----------------------------------------------------------------
+
+_TEXT = r"regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', chr(160)), '&quot;', chr(34)), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '[ \t]+', ' ', 'g')"
+_WS = r"trim(regexp_replace({0}, '[\s\x{{00a0}}]+', ' ', 'g'))"
+
+
+def _hash(col: str) -> str:
+    text = _WS.format(_TEXT.format(col))
+    return f"case when length({text})>=200 then sha256({text}) else sha256({col}) end"
+
+
+@query("html_text", f"select page_id, length({_TEXT.format('html')}) as chars, sha256({_TEXT.format('html')}) as digest from pages")
+def _(s, d):
+    t = tx.html_to_text(F.col("html"))
+    return table(s, d, "pages").select("page_id", F.length(t).alias("chars"), F.sha2(t.cast("binary"), 256).alias("digest"))
+
+
+@query("content_hash", f"select page_id, {_hash('html')} as digest from pages")
+def _(s, d):
+    return table(s, d, "pages").select("page_id", tx.content_hash(F.col("html"), F.lit("html")).alias("digest"))
+
+
+_HOST = "regexp_extract(url, '^https?://([^/:?#]+)', 1)"
+_STRIPPED = r"regexp_replace(html, 'track\([0-9]+\)', '', 'g')"
+_DRIFT = f"""(select grp, id, url, pos, old, new, status, case when status='ok' then old<>new end as changed, status='ok' and old<>'' as compared from
+ (select {_HOST} as grp, page_id as id, url, page_id as pos, case when page_id%7=0 then '' when page_id%5=0 or {_HOST} like 'www%' then sha256('old' || page_id) else {_hash(_STRIPPED)} end as old,
+  case when page_id%11=0 then null else {_hash(_STRIPPED)} end as new, case when page_id%11=0 then 'fetch_failed' else 'ok' end as status from pages))"""
+
+
+def page_manifest(s, d):
+    """A baseline with altered, empty and equal digests."""
+    p = table(s, d, "pages")
+    host = tx.url_host(F.col("url"))
+    now = tx.content_hash(F.col("html"), F.lit("html"), VOLATILE[:1])
+    altered = F.sha2(F.concat(F.lit("old"), F.col("page_id").cast("string")).cast("binary"), 256)
+    old = F.when(F.col("page_id") % 7 == 0, "").when((F.col("page_id") % 5 == 0) | host.startswith("www"), altered).otherwise(now)
+    return p.select(host.alias("grp"), F.col("page_id").alias("id"), "url", old.alias("sha256"), F.col("page_id").alias("pos"))
+
+
+def page_observations(s, d):
+    p = table(s, d, "pages")
+    failed = F.col("page_id") % 11 == 0
+    return p.select(tx.url_host(F.col("url")).alias("grp"), F.col("page_id").alias("id"), F.when(failed, "fetch_failed").otherwise("ok").alias("status"), F.when(~failed, tx.content_hash(F.col("html"), F.lit("html"), VOLATILE[:1])).alias("new_sha256"))
+
+
+def page_drift(s, d):
+    return drift.compare(page_manifest(s, d), page_observations(s, d))
+
+
+@query("drift_compare", f"select * from {_DRIFT}")
+def _(s, d):
+    return page_drift(s, d)
+
+
+_GROUPS = f"(select grp, count(*) as total, count(*) filter (old='') as unseeded, count(*) filter (status<>'ok') as uncompared, count(*) filter (compared) as compared, count(*) filter (changed and compared) as changed from {_DRIFT} group by 1)"
+
+
+@query("drift_by_group", f"select * from {_GROUPS}")
+def _(s, d):
+    return drift.by_group(page_drift(s, d))
+
+
+@query("group_findings", f"select grp, compared, total as in_scope from {_GROUPS} where compared>1 and changed=compared")
+def _(s, d):
+    return drift.group_findings(page_drift(s, d))
+
+
+@query("ticket_budget", f"""select row_number() over (order by n, grp, pos, id) as rank, grp, id, url, old, new from
+ (select *, count(*) over (partition by grp) as n from {_DRIFT} where changed and compared) order by n, grp, pos, id limit 25""")
+def _(s, d):
+    return drift.tickets(page_drift(s, d))
+
+
+@query("systemic_rate", f"select count(*) as total, count(*) filter (status<>'ok') as failed, count(*) filter (status<>'ok')/count(*) > 0.2 as systemic from {_DRIFT}")
+def _(s, d):
+    return drift.systemic(page_drift(s, d))
+
+
+def _gone(p: str) -> str:
+    return f"(strlen(html)-strlen(regexp_replace(html,'{p}','','g')))"
+
+
+@query("volatile_effect", " union all ".join(f"select {i} as pattern, count(*) filter ({_gone(p)}>0) as sources, sum({_gone(p)})::bigint as removed, sum({_gone(p)}) >= 0.1*sum(strlen(html)) as warn from pages" for i, p in enumerate(VOLATILE)))
+def _(s, d):
+    return drift.volatile_effect(table(s, d, "pages"), VOLATILE)
+
+
+_SEEDED = f"select outcome, count(*) as n from (select case when new is null then 'failed' when old=new then 'already_current' when old<>'' then 'left_alone' else 'written' end as outcome from {_DRIFT}) group by 1"
+
+
+@query("baseline_seed", _SEEDED)
+def _(s, d):
+    return drift.update_baselines(page_manifest(s, d), page_drift(s, d), "seed").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("baseline_refresh", f"select outcome, sha256 is null as none, count(*) as n from (select case when new is null then 'failed' when old=new then 'already_current' else 'written' end as outcome, old as sha256 from {_DRIFT}) group by 1,2")
+def _(s, d):
+    out = drift.update_baselines(page_manifest(s, d), page_drift(s, d), "refresh")
+    return out.groupBy("outcome", F.col("sha256").isNull().alias("none")).agg(F.count("*").alias("n"))
+
+
+@query("json_watch_digest", """select event_id, case when json_extract_string(props,'$.k') is not null then sha256('{"k":' || json_extract_string(props,'$.k') || '}') end as digest,
+ case when json_extract_string(props,'$.k') is not null then 'ok' else 'watch_missing' end as status from events""")
+def _(s, d):
+    e = table(s, d, "events").withColumn("w", drift.watched_digest(F.col("props"), ["k"]))
+    return e.select("event_id", "w.digest", "w.status")
+
+
+@query("json_watch_native", """select event_type, count(*) as n, count(distinct sha256('{"k":' || json_extract_string(props,'$.k') || '}')) as digests from events group by 1""")
+def _(s, d):
+    e = table(s, d, "events").withColumn("w", drift.watched_value_digest(F.col("props"), "k"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("w").alias("digests"))
+
+
+@query("fetch_windows", "select event_type, date_trunc('day', ts)::date as day, count(*) as n, round(sum(value),3) as total from events group by 1,2")
+def _(s, d):
+    w = F.window("ts", "1 day")
+    g = table(s, d, "events").groupBy("event_type", w).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return g.select("event_type", F.to_date("window.start").alias("day"), "n", "total")
+
+
+# ---- graph and citations ------------------------------------------------------------------------
+
+
+def star_graph(s, d):
+    """Nodes and edges of the star schema; regions below 2 are left out of the nodes and so are external."""
+    t = lambda n: table(s, d, n)
+    node = lambda df, kind, key, title: df.select(F.concat(F.lit(f"{kind}-"), key).alias("id"), F.col(title).alias("title"), F.lit(kind).alias("doc_type"))
+    edge = lambda df, rel, a, ka, b, kb: df.select(F.concat(F.lit(f"{a}-"), ka).alias("src"), F.lit(rel).alias("rel"), F.concat(F.lit(f"{b}-"), kb).alias("dst"), F.lit(0).alias("pos"))
+    nodes = node(t("region").where("r_regionkey >= 2"), "region", "r_regionkey", "r_name").unionByName(node(t("nation"), "nation", "n_nationkey", "n_name")).unionByName(node(t("customer"), "customer", "c_custkey", "c_name"))
+    edges = edge(t("nation"), "in_region", "nation", "n_nationkey", "region", "n_regionkey").unionByName(edge(t("customer"), "in_nation", "customer", "c_custkey", "nation", "c_nationkey"))
+    down = edges.select(F.col("dst").alias("src"), F.lit("holds").alias("rel"), F.col("src").alias("dst"), "pos")
+    return nodes, edges.unionByName(down)
+
+
+_NODES = "(select 'region-' || r_regionkey as id, r_name as title, 'region' as doc_type from region where r_regionkey>=2 union all select 'nation-' || n_nationkey, n_name, 'nation' from nation union all select 'customer-' || c_custkey, c_name, 'customer' from customer)"
+_UP = "(select 'nation-' || n_nationkey as src, 'in_region' as rel, 'region-' || n_regionkey as dst from nation union all select 'customer-' || c_custkey, 'in_nation', 'nation-' || c_nationkey from customer)"
+_EDGES = f"(select src, rel, dst from {_UP} union all select dst, 'holds', src from {_UP})"
+
+
+@query("graph_neighbors", f"select e.src as id, rel, dst as target, title, doc_type, n.id is null as external from {_EDGES} e left join {_NODES} n on n.id=e.dst where e.src in ('nation-3','customer-7','region-1')")
+def _(s, d):
+    nodes, edges = star_graph(s, d)
+    starts = s.createDataFrame([("nation-3",), ("customer-7",), ("region-1",)], "id string")
+    return graph.neighbours(edges, nodes, starts).drop("pos")
+
+
+@query("external_neighbors", f"select rel, dst as target, count(*) as n from {_EDGES} e where not exists (select 1 from {_NODES} n where n.id=e.dst) group by 1,2")
+def _(s, d):
+    nodes, edges = star_graph(s, d)
+    lost = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return lost.groupBy("rel", F.col("dst").alias("target")).agg(F.count("*").alias("n"))
+
+
+@query("authority_chain", f"""with recursive w as (select 0 as level, 'nation-3' as id union select w.level+1, e.dst from w join {_EDGES} e on e.src=w.id where w.level<3 and (w.level=0 or exists (select 1 from {_NODES} n where n.id=w.id))),
+ f as (select id, min(level) as level from w group by id)
+ select level, id, not exists (select 1 from {_NODES} n where n.id=f.id) as external from f where level>0""")
+def _(s, d):
+    nodes, edges = star_graph(s, d)
+    return graph.walk(edges, nodes, "nation-3", ["in_region", "in_nation", "holds"], 3).select("level", "id", "external")
+
+
+@query("citation_resolve", """select c.citation, case when c.citation like 'Brand#%' then 'parts' when c.citation[1] between '0' and '9' then 'priorities' end as corpus,
+ case when c.citation like 'Brand#%' then 'brand-' || c.citation[7:] when c.citation[1] between '0' and '9' then 'priority-' || c.citation[1] end as candidate, n.title,
+ case when n.title is not null then 'resolved' when c.citation like 'Brand#%' or c.citation[1] between '0' and '9' then 'unresolved' else 'no_scheme' end as status
+ from (select distinct p_brand as citation from part union select distinct o_orderpriority from orders union select 'see above') c
+ left join (select distinct 'brand-' || p_brand[7:] as id, p_brand as title from part where p_brand<>'Brand#11') n on n.id = case when c.citation like 'Brand#%' then 'brand-' || c.citation[7:] end""")
+def _(s, d):
+    p, o = table(s, d, "part"), table(s, d, "orders")
+    cites = p.select(F.col("p_brand").alias("citation")).union(o.select("o_orderpriority")).union(s.createDataFrame([("see above",)], "citation string")).distinct()
+    nodes = p.where("p_brand <> 'Brand#11'").select(F.regexp_replace(F.lower("p_brand"), "#", "-").alias("id"), F.col("p_brand").alias("title")).distinct()
+    return graph.resolve_citations(cites, SCHEMES, nodes)
+
+
+@query("name_candidates", """with q(query) as (values ('nation_1'), ('asia'), ('zz')), b as (select 'n' || n_nationkey as slug, n_name as name from nation union all select 'r' || r_regionkey, r_name from region),
+ m as (select query, slug, name, count(*) over (partition by query) as found, row_number() over (partition by query order by slug) as place from q join b on contains(lower(name), query))
+ select query, slug, 'name' as field, name, found=1 as "unique" from m where place<=8""")
+def _(s, d):
+    body = table(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("slug"), F.col("n_name").alias("name")).union(table(s, d, "region").select(F.concat(F.lit("r"), "r_regionkey"), "r_name"))
+    return graph.name_candidates(s.createDataFrame([("nation_1",), ("asia",), ("zz",)], "query string"), body, ["name"])
+
+
+# ---- data quality -------------------------------------------------------------------------------
+
+
+@query("relationship_orphans", "select l_partkey as dst, count(*) as n from lineitem where not exists (select 1 from part where p_partkey=l_partkey and p_partkey%10<>0) group by 1")
+def _(s, d):
+    edges = table(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.lit("part").alias("rel"), F.col("l_partkey").alias("dst"))
+    universe = table(s, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("id"))
+    lost = edges.join(universe.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return lost.groupBy("dst").agg(F.count("*").alias("n"))
+
+
+@query("join_orphans", "select l_orderkey as id, l_linenumber-1 as i, l_suppkey as dst from lineitem where l_suppkey%10=0")
+def _(s, d):
+    joins = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_suppkey").alias("document_id"))))
+    rows = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(joins.alias("joins"))
+    universe = table(s, d, "supplier").where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").alias("id"))
+    out = rows.select("id", F.explode("joins").alias("j")).select("id", (F.col("j.l_linenumber") - 1).alias("i"), F.col("j.document_id").alias("dst"))
+    return out.join(universe.select(F.col("id").alias("dst")), "dst", "left_anti")
+
+
+@query("unregistered_slugs", f"select id, issuing_body_slug as declared_slug from {_DOCS} where issuing_body_slug<>'src15' and issuing_body_slug not in (select slug from {_REGISTRY})")
+def _(s, d):
+    declared = docs(s, d).select("id", F.col("issuing_body_slug").alias("declared_slug"))
+    return validation.unregistered_slugs(declared, registry(s), SENTINELS)
+
+
+@query("schema_findings", """select rule, level, count(*) as n from (select 'title_required' as rule, 'error' as level from documents where doc_id%5=0 union all select 'status_enum','error' from documents where doc_id%4=0
+ union all select 'verbatim_sha256','error' from documents where doc_id%3<>0 union all select 'verbatim_retrieved','error' from documents where false) group by 1,2""")
+def _(s, d):
+    t = table(s, d, "documents")
+    rows = t.select(
+        F.concat(F.lit("doc-"), "doc_id").alias("id"), F.concat(F.lit("x/doc-"), "doc_id", F.lit(".md")).alias("path"), F.when(F.col("doc_id") % 5 != 0, "t").alias("title"),
+        F.when(F.col("doc_id") % 4 == 0, "lost").otherwise("current").alias("status"), F.lit("verbatim").alias("content_mode"), F.lit("rule").alias("doc_type"), F.lit("2024-01-01").alias("retrieved"),
+        F.when(F.col("doc_id") % 3 == 0, F.sha2(F.lit("x").cast("binary"), 256)).alias("source_sha256"), F.lit(None).cast("string").alias("content_exception"), F.lit(False).alias("migration_pending"),
+    )
+    return validation.check(rows, validation.schema_rules()).groupBy("rule", "level").agg(F.count("*").alias("n"))
+
+
+_FOLD = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
+
+
+@query("ordered_containment", r"""with t as (select doc_id, text, string_split(text, chr(10)) as l from documents),
+ s as (select doc_id, text, case when len(l)>=2 and doc_id%2=0 then [l[2], l[1]] else l[1:2] end as l from t)
+ select doc_id, case when strpos(text, l[1])=0 then l[1] when len(l)>1 and strpos(text[strpos(text,l[1])+length(l[1]):], l[2])=0 then l[2] end as first_missing from s""")
+def _(s, d):
+    """First two lines of every document, swapped in every other one, in order in the text."""
+    t = table(s, d, "documents").withColumn("l", F.split("text", "\n"))
+    first = F.slice("l", 1, 2)
+    lines = F.when((F.size("l") >= 2) & (F.col("doc_id") % 2 == 0), F.array(F.col("l")[1], F.col("l")[0])).otherwise(first)
+    return t.select("doc_id", tx.ordered_containment(lines, F.col("text")).alias("first_missing"))
+
+
+@query("quote_containment", f"select item_id, count(doc_id) > 0 as found from benchmark b left join documents d on contains({_FOLD.format('d.text')}, {_FOLD.format('b.text')}) group by 1")
+def _(s, d):
+    # The quotations are a fixed, bounded list; one aggregate per document batch and no pairs are kept.
+    quotes = table(s, d, "benchmark").select("item_id", F.lower(tx.ws_only(F.col("text"))).alias("q"))
+    listed = quotes.agg(F.collect_list(F.struct("item_id", "q")).alias("qs"))
+    text = F.lower(tx.ws_only(F.col("text")))
+    hits = table(s, d, "documents").select(text.alias("t")).crossJoin(F.broadcast(listed)).select(F.explode(F.filter("qs", lambda x: F.contains(F.col("t"), x["q"]))["item_id"]).alias("item_id")).distinct()
+    return quotes.join(hits.withColumn("hit", F.lit(True)), "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("found"))
+
+
+@query("coverage_ratio", r"select doc_id, round(length(trim(regexp_replace(left(text, (length(text)*3//4)::bigint), '\s+', ' ', 'g'))) / greatest(1, length(trim(regexp_replace(text, '\s+', ' ', 'g')))), 6) as ratio from documents")
+def _(s, d):
+    part = F.expr("left(text, cast(length(text)*3 div 4 as int))")
+    return table(s, d, "documents").select("doc_id", F.round(tx.coverage_ratio(part, F.col("text")), 6).alias("ratio"))
+
+
+_PAGE_TOKENS = r"(select page_id as id, unnest(regexp_extract_all({0}, '[0-9A-Za-z][0-9A-Za-z._/§\-]*')) as token from pages)"
+_TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+_H1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
+
+
+@query("token_multiset_diff", f"""select id, token, greatest(d,0)::bigint as missing, greatest(-d,0)::bigint as extra from (select coalesce(a.id,b.id) as id, coalesce(a.token,b.token) as token, coalesce(a.n,0)-coalesce(b.n,0) as d from
+ (select id, token, count(*) as n from {_PAGE_TOKENS.format(_TITLE)} group by 1,2) a full join (select id, token, count(*) as n from {_PAGE_TOKENS.format(f"concat({_H1}, ' end')")} group by 1,2) b on a.id=b.id and a.token=b.token) where d<>0""")
+def _(s, d):
+    p = table(s, d, "pages")
+    title, h1 = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)
+    side = lambda c: p.select(F.col("page_id").alias("id"), F.explode(tx.extraction_tokens(c)).alias("token"))
+    return validation.token_multiset_difference(side(title), side(F.concat(h1, F.lit(" end"))))
+
+
+_ASSERTED = """(select doc_id as id, field, value, contains(lower(trim(regexp_replace(text,'\\s+',' ','g'))), lower(value)) as found from
+ (select doc_id, text, 'opening' as field, 'absent' || (doc_id%3) as value from documents where doc_id%2=0 union all select doc_id, text, 'language', 'the of' from documents union all select doc_id, text, 'mark', 'Rule x' || (doc_id%4) from documents where doc_id%3=0))"""
+
+
+def asserted(s, d):
+    t = table(s, d, "documents")
+    parts = [("opening", F.concat(F.lit("absent"), F.col("doc_id") % 3), F.col("doc_id") % 2 == 0), ("language", F.lit("the of"), F.lit(True)), ("mark", F.concat(F.lit("Rule x"), F.col("doc_id") % 4), F.col("doc_id") % 3 == 0)]
+    rows = F.array_compact(F.array(*(F.when(keep, F.struct(F.lit(f).alias("field"), v.alias("value"))) for f, v, keep in parts)))
+    return t.select(F.col("doc_id").alias("id"), F.explode(rows).alias("a")).select("id", "a.field", "a.value"), t.select(F.col("doc_id").alias("id"), F.col("text").alias("txt"))
+
+
+@query("grounding_rate", f"select field, count(*) as checked, count(*) filter (found) as grounded from {_ASSERTED} where field='language' group by 1")
+def _(s, d):
+    a, src = asserted(s, d)
+    return validation.grounding_rate(validation.grounded(a.where("field = 'language'"), src))
+
+
+@query("constant_absent", "select 'opening' as field, 'absent' || k as value, count(*) as docs from (select doc_id%3 as k from documents where doc_id%2=0 and not contains(lower(text),'absent')) group by k having false union all select 'extra' as field, 'nowhere to see' as value, count(*) as docs from documents")
+def _(s, d):
+    t = table(s, d, "documents")
+    a = t.select(F.col("doc_id").alias("id"), F.lit("extra").alias("field"), F.lit("nowhere to see").alias("value"))
+    return validation.constant_and_absent(validation.grounded(a, t.select(F.col("doc_id").alias("id"), F.col("text").alias("txt"))))
+
+
+@query("citation_misses", "select 'mark' as field, 'Rule zqx' || (1000+doc_id%4) as value, count(*) as docs from documents where not contains(lower(text), 'zqx') and not contains(text, (1000+doc_id%4)::varchar) group by 2")
+def _(s, d):
+    t = table(s, d, "documents")
+    a = t.select(F.col("doc_id").alias("id"), F.lit("mark").alias("field"), F.concat(F.lit("Rule zqx"), 1000 + F.col("doc_id") % 4).alias("value"))
+    return validation.citation_misses(validation.grounded(a, t.select(F.col("doc_id").alias("id"), F.col("text").alias("txt"))))
+
+
+@query("changed_documents", "select 'added' as change, count(*) as n from documents where doc_id%9=0 union all select 'removed', count(*) from documents where doc_id%9=1 union all select 'changed', count(*) from documents where doc_id%9=2")
+def _(s, d):
+    """Two states of the content compared by digest, as a scan of changed files does."""
+    from lodestack.sources.corpus import changed_since
+
+    t = table(s, d, "documents")
+    now = t.where("doc_id % 9 <> 1").select(F.col("doc_id").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    then = t.where("doc_id % 9 <> 0").select(F.col("doc_id").alias("path"), F.sha2(F.concat("text", F.when(F.col("doc_id") % 9 == 2, "x").otherwise("")).cast("binary"), 256).alias("digest"))
+    return changed_since(now, then).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("stream_drift")
+def _(s, d):
+    from lodestack.streaming.drift import run_once
+
+    return run_once(s, page_manifest(s, d), page_observations(s, d))
+
+
+QUERIES = dict(_QUERIES)
+ORACLE_SQL = dict(_SQL)
