@@ -48,7 +48,7 @@ def parse_frontmatter(text: str | None) -> tuple[str | None, str | None, str | N
 
 def read_markdown(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, size, fm VARIANT, body, parse_error) of all *.md below ``paths``; names with a leading underscore and CHANGELOG.md are left out."""
-    raw = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).option("wholetext", True).text(paths)
+    raw = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(paths, wholetext=True)
     files = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), "value")
     name = F.element_at(F.split("path", "/"), -1)
     files = files.where(~name.startswith("_") & (name != "CHANGELOG.md"))
