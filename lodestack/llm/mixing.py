@@ -70,7 +70,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     odds = F.least(F.greatest(share, F.lit(1e-12)), F.lit(1.0 - 1e-12))
     joined = joined.withColumn("q", pareto_key(F.col("doc_id"), odds))
     ranked = running_totals(joined, ["rank"], ["q", "doc_id", "size", *keep], "size", "before")
-    drawn = (2 * F.col("before") + F.col("size") <= 2 * F.col("rest")).cast("long")
+    drawn = ((F.col("rest") > 0) & (2 * F.col("before") + F.col("size") <= 2 * F.col("rest"))).cast("long")
     return ranked.withColumn("copies", F.col("copies") + drawn).withColumn("taken", F.col("copies") * F.col("size")).drop("rest", "q", "before", "rank")
 
 
@@ -111,5 +111,5 @@ h as (select d.doc_id, d.size, g.source_size, g.target, d.source, g.rank, g.copi
   from d join g on d.source is not distinct from g.source),
 p as (select *, (u/(1.0::double-u)) as q from h),
 b as (select *, coalesce(sum(size) over (partition by rank order by q, doc_id nulls first, size rows between unbounded preceding and 1 preceding),0) as before from p),
-o as (select *, copies0 + (case when 2*before + size <= 2*rest then 1 else 0 end) as copies from b)
+o as (select *, copies0 + (case when rest > 0 and 2*before + size <= 2*rest then 1 else 0 end) as copies from b)
 select doc_id, size, source_size, target, (copies*size)::bigint as taken, source, copies::bigint as copies from o"""
