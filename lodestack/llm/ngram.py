@@ -169,11 +169,9 @@ class Automaton:
             by1.setdefault(a, []).append((b, c))
         for a, out in by1.items():
             s, total = state1[a], max(unigrams[a], sum(c for _, c in out))
-            kept = sum((c - DISCOUNT) / total for _, c in out)
-            low = sum(p1[b] for b, _ in out)
-            self.backoff[s] = math.log10(max(1.0 - kept, 1e-12) / max(1.0 - low, 1e-12))
+            scale, self.backoff[s] = self._left_over(out, total, sum(p1[b] for b, _ in out))
             for b, c in out:
-                probs[a, b] = (c - DISCOUNT) / total
+                probs[a, b] = scale * (c - DISCOUNT) / total
                 arcs.append((s * k + b, math.log10(probs[a, b]), state2.get((a, b), state1.get(b, 0))))
         by2: dict[tuple[int, int], list] = {}
         for (a, b, d), c in trigrams.items():
@@ -184,16 +182,23 @@ class Automaton:
             back = state1.get(b, 0)
             self.fail[s] = back
             lower = {d: probs.get((b, d), 10.0 ** self.backoff[back] * p1[d]) for d, _ in out}
-            kept = sum((c - DISCOUNT) / total for _, c in out)
-            self.backoff[s] = math.log10(max(1.0 - kept, 1e-12) / max(1.0 - sum(lower.values()), 1e-12))
+            scale, self.backoff[s] = self._left_over(out, total, sum(lower.values()))
             for d, c in out:
-                arcs.append((s * k + d, math.log10((c - DISCOUNT) / total), state2.get((b, d), state1.get(d, 0))))
+                arcs.append((s * k + d, math.log10(scale * (c - DISCOUNT) / total), state2.get((b, d), state1.get(d, 0))))
         arcs.sort()
         self.keys = np.array([x[0] for x in arcs], dtype=np.int64)
         self.logp = np.array([x[1] for x in arcs])
         self.next = np.array([x[2] for x in arcs], dtype=np.int64)
         self.start = int(self.after[END])
 
+    @staticmethod
+    def _left_over(out: list[tuple[int, int]], total: float, low: float) -> tuple[float, float]:
+        """Factor of the arcs' discounted shares and log10 of the backoff weight; if every symbol has an arc, nothing is left over."""
+        kept = sum((c - DISCOUNT) / total for _, c in out)
+        if low > 1.0 - 1e-9:
+            return 1.0 / kept, 0.0
+        return 1.0, math.log10(max(1.0 - kept, 1e-12) / (1.0 - low))
+
     def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probabilities and next states; failure arcs are followed until an arc fits."""
         gain, out = np.zeros(len(states)), np.empty(len(states), dtype=np.int64)
