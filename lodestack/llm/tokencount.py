@@ -21,6 +21,7 @@ from lodestack.llm.common import pin, shared_dir, text_or_empty
 #: End of document in the public vocabulary. Its string in a text is ordinary text, so no document holds the id.
 SEPARATOR = 49407
 BLOCK_BYTES = 4 << 20
+NAME = "tokens-%06d.bin"
 
 
 def _open_folder(uri: str):
@@ -32,7 +33,7 @@ def _open_folder(uri: str):
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, separator: int = SEPARATOR) -> DataFrame:
-    """Writes the ids of ``docs(doc_id, text)`` as flat files, one per partition; (path, bytes, ordinal, doc_id) of every document.
+    """Writes the ids of ``docs(doc_id, text)`` as flat files, one per partition; (file, bytes, ordinal, doc_id) of every document.
 
     A file appears under its name when it is whole; a repeated task replaces it by an equal one.
     """
@@ -45,7 +46,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
         store, base = _open_folder(folder)
         enc, end = encoder(vocabulary, literal=True), separator.to_bytes(2, "little")
-        name = f"{base}/tokens-{TaskContext.get().partitionId():06d}.bin"
+        file = TaskContext.get().partitionId()
+        name = f"{base}/{NAME % file}"
         part = f"{base}/_{uuid.uuid4().hex}"
         store.create_dir(base, recursive=True)
         ordinal = size = 0
@@ -61,10 +63,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
         store.move(part, name)
         for ids, first in rows:
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([size] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), ids], names=["path", "bytes", "ordinal", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.int32()), pa.array([size] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), ids], names=["file", "bytes", "ordinal", "doc_id"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return pin(given.mapInArrow(write, "path string, bytes long, ordinal long, doc_id long"))
+    return pin(given.mapInArrow(write, "file int, bytes long, ordinal long, doc_id long"))
 
 
 def scan_token_files(files: DataFrame, folder: str, separator: int = SEPARATOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -117,9 +119,10 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """
     folder = f"{shared_dir(docs.sparkSession)}/flat-{uuid.uuid4().hex}"
     places = write_token_files(docs, folder, vocabulary)
-    files = places.groupBy("path").agg(F.max("bytes").alias("bytes"))
-    counts = scan_token_files(files, folder)
-    return places.join(counts, ["path", "ordinal"]).select("doc_id", "n_tokens", F.element_at(F.split("path", "/"), -1).alias("file"), "ordinal")
+    path = F.concat(F.lit(f"{_open_folder(folder)[1]}/"), F.format_string(NAME, "file"))
+    files = places.groupBy("file").agg(F.max("bytes").alias("bytes")).select(path.alias("path"), "bytes")
+    counts = scan_token_files(files, folder).withColumn("file", F.regexp_extract("path", r"tokens-(\d+)\.bin$", 1).cast("int"))
+    return places.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
