@@ -19,6 +19,8 @@ from lodestack.llm.common import WS_CHARS, pin, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 SPREAD, LEAST = 6, 100
+#: Fences of up to so many groups (some 200 bytes each) are sent to all tasks; more are joined by a shuffle.
+FENCES_SENT = 20_000
 #: Measure -> least interquartile range that counts. word_len: code points in 100 words; the rest: in 1000 words.
 MEASURES = {"word_len": 20, "symbols": 10, "dup_lines": 4, "repeats": 25}
 #: Only the length of words has a lower fence.
@@ -73,7 +75,8 @@ def base_measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         n.alias("n_words"), F.col("_wc").alias("word_chars"), F.col("_ns").alias("n_symbols"), F.col("_nd").alias("n_dup_lines"),
         rep.alias("n_repeat_words"), failed.alias("base_failed"),
     )
-    return out.select(*keep, packed.alias("_q"))
+    # A generator is a barrier: what reads _q later, above all a filter, does not measure the text again.
+    return out.select(*keep, F.explode(F.array(packed)).alias("_q"))
 
 
 def _measure(name: str) -> Column:
@@ -146,6 +149,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     names = docs.columns
     whole = docs.select("text", "lang", "source", F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
     limits = pin(fences(pin(sketch(base_measures(whole, ["lang", "source"])))))
+    if limits.count() <= FENCES_SENT:
+        limits = F.broadcast(limits)
     kept = judged(base_measures(whole, ["lang", "source", "_row"]), limits).where("_kept")
     return kept.select("_row.*")
 
