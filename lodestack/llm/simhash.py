@@ -24,6 +24,8 @@ from lodestack.llm.common import lower_ascii, pin, text_or_empty
 from lodestack.llm.components import connected_components
 
 SEGMENT_BITS = 32
+#: Differing bits that longer fingerprints may have in their first 64, before they are compared whole.
+HEAD_BITS = 18
 
 
 def _features(words: list[bytes], width: int, distinct: bool) -> list[bytes]:
@@ -74,14 +76,14 @@ def ball_masks(radius: int, bits: int = SEGMENT_BITS) -> list[int]:
     return [sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(bits), k)]
 
 
-def _table(classes: DataFrame, longs: int, segments: int) -> DataFrame:
-    """One row per (class, segment): key = segment number and its 32 bits."""
+def _table(classes: DataFrame, segments: int) -> DataFrame:
+    """One row per (class, segment): key = segment number and its 32 bits; head = the first 64 bits of the fingerprint."""
     parts = []
     for s in range(segments):
         word = F.col("_fp")[s // 2]
         half = F.shiftrightunsigned(word, 32) if s % 2 == 0 else word.bitwiseAND(F.lit(0xFFFFFFFF))
         parts.append(half.bitwiseOR(F.lit(s << 32)))
-    return classes.select("node", "_fp", *(c for c in classes.columns if c == "comp"), F.explode(F.array(*parts)).alias("key"))
+    return classes.select("node", F.col("_fp")[0].alias("head"), *(c for c in classes.columns if c == "label"), F.explode(F.array(*parts)).alias("key"))
 
 
 def _probes(table: DataFrame, radius: int) -> DataFrame:
@@ -98,37 +100,38 @@ def _distance(a: str, b: str, longs: int):
     return total
 
 
-def hamming_components(classes: DataFrame, longs: int, segments: int, radius: int, max_distance: int, verify=None) -> DataFrame:
+def _ends(a: str, b: str):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def hamming_components(classes: DataFrame, segments: int, radius: int, most: int, verify=None) -> DataFrame:
     """``classes(node long, _fp array<long>)``, fingerprints distinct -> ``(node, comp)`` of the linked classes.
 
-    ``verify``: a function from a table of candidate links (a, b) to those that hold.
+    ``most``: differing bits allowed in the first 64. Longer fingerprints are compared whole by ``verify``, a
+    function from a table of candidate links (a, b) to those that hold.
     """
     verify = verify or (lambda links: links)
-    table = _table(classes, longs, segments)
-    probes = _probes(table, radius)
-    centres = table.groupBy("key").agg(F.min(F.struct("node", "_fp")).alias("c"), F.count("*").alias("n"))
-    centres = centres.select("key", F.col("c.node").alias("centre"), F.col("c._fp").alias("cfp"), "n")
-    near = (F.col("centre") != F.col("node")) & (_distance("cfp", "_fp", longs) <= max_distance)
-    first = probes.join(centres.drop("n").withColumnRenamed("key", "k"), (F.col("k") == F.col("key")) & near)
-    links = pin(verify(pin(first.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())))
-    comps = connected_components(links)
-    labelled = pin(classes.join(comps, "node", "left").select("node", "_fp", F.coalesce("comp", "node").alias("comp")))
-    table = _table(labelled, longs, segments)
-    crowded = centres.where("n > 1").select("key", "centre")
-    rest = table.join(crowded, "key").where("node <> centre").select(
-        F.col("key").alias("k"), F.col("node").alias("other"), F.col("_fp").alias("ofp"), F.col("comp").alias("ocomp")
+    near = lambda x: F.bit_count(F.col(x).bitwiseXOR(F.col("head"))) <= most
+    table = _table(classes, segments)
+    centres = table.groupBy("key").agg(F.min(F.struct("node", "head")).alias("c"), F.count("*").alias("n"))
+    centres = centres.select(F.col("key").alias("k"), F.col("c.node").alias("centre"), F.col("c.head").alias("chead"), "n")
+    first = _probes(table, radius).join(centres.drop("n"), (F.col("k") == F.col("key")) & (F.col("centre") != F.col("node")) & near("chead"))
+    links = pin(verify(first.select(*_ends("node", "centre")).distinct()))
+    # Two steps to the least neighbour. Classes with one label are linked, so the second round may leave out their pairs.
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("l1"))
+    two = one.join(one.select(F.col("node").alias("l1"), F.col("l1").alias("l2")), "l1", "left").select("node", F.coalesce("l2", "l1").alias("l"))
+    labelled = classes.join(two, "node", "left").select("node", "_fp", F.coalesce("l", "node").alias("label"))
+    crowded = centres.where("n > 1").select(F.col("k").alias("key"), "centre")
+    rest = pin(
+        _table(labelled, segments).join(crowded, "key").where("node <> centre")
+        .select(F.col("key").alias("k"), F.col("node").alias("other"), F.col("head").alias("ohead"), F.col("label").alias("olabel"))
     )
-    rest = pin(rest)
-    if rest.isEmpty():
-        return comps
-    meet = (F.col("k") == F.col("key")) & (F.col("ocomp") != F.col("comp")) & (_distance("ofp", "_fp", longs) <= max_distance)
-    wanted = rest.select(F.col("k").alias("key")).distinct()
-    second = _probes(table, radius).join(wanted, "key", "left_semi").join(rest, meet)
-    more = verify(pin(second.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()))
-    more = pin(more)
-    if more.isEmpty():
-        return comps
-    return connected_components(links.unionByName(more))
+    if not rest.isEmpty():
+        meet = (F.col("k") == F.col("key")) & (F.col("olabel") != F.col("label")) & near("ohead")
+        second = _probes(_table(labelled, segments), radius).join(rest, meet)
+        links = links.unionByName(pin(verify(second.select(*_ends("node", "other")).distinct())))
+    return connected_components(links)
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, longs: int = 1, distinct: bool = False, segments: int = 2, radius: int = 1, max_distance: int = 3, jaccard: tuple[int, float] | None = None) -> DataFrame:
@@ -144,23 +147,28 @@ def simhash_groups(docs: DataFrame, width: int = 3, longs: int = 1, distinct: bo
     rows = with_fingerprints(rows, width, longs, distinct).withColumn("text_hash", F.xxhash64(text_or_empty()))
     rows = pin(rows.select("doc_id", "text_hash", "_fp"))
     keys = [F.col("_fp")[i].alias(f"_f{i}") for i in range(longs)]
-    names = [f"_f{i}" for i in range(longs)]
+    prints = [f"_f{i}" for i in range(longs)]
+    # With a similarity to verify, only equal texts are one class; else equal fingerprints are.
+    names = [*prints, "text_hash"] if jaccard else prints
     per_class = rows.select("doc_id", "text_hash", *keys).groupBy(*names).agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("sample"))
-    classes = pin(per_class.select(F.monotonically_increasing_id().alias("node"), F.array(*names).alias("_fp"), "first_id", F.col("sample.doc_id").alias("sample_id"), F.col("sample.text_hash").alias("sample_hash")))
-    verify = None
-    if jaccard:
-        def verify(links, spec=jaccard):
-            return _similar(links, classes, docs, *spec)
+    classes = pin(per_class.select(F.monotonically_increasing_id().alias("node"), F.array(*prints).alias("_fp"), "first_id", F.col("sample.doc_id").alias("sample_id"), F.col("sample.text_hash").alias("sample_hash")))
+    if longs > 1 and not jaccard:
+        raise ValueError("fingerprints of more than 64 bits need a similarity to verify")
+    verify = (lambda links: _similar(links, classes, docs, longs, max_distance, *jaccard)) if jaccard else None
 
-    comps = hamming_components(classes.select("node", "_fp"), longs, segments, radius, max_distance, verify)
+    comps = hamming_components(classes.select("node", "_fp"), segments, radius, max_distance if longs == 1 else HEAD_BITS, verify)
     named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "comp").select(*(F.col("_fp")[i].alias(f"_f{i}") for i in range(longs)), "component_id")
+    named = named.join(least, "comp").select(*(F.col("_fp")[i].alias(f"_f{i}") for i in range(longs)), F.col("sample_hash").alias("text_hash"), "component_id")
+    named = named.select(*names, "component_id")
     return rows.select("doc_id", "text_hash", "_fp", *keys).join(named, names).select("doc_id", "text_hash", "_fp", "component_id")
 
 
-def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The links whose classes' sample texts have that Jaccard similarity; texts of linked classes only are moved."""
+def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame, longs: int, max_distance: int, width: int, least: float) -> DataFrame:
+    """The links within ``max_distance`` whose classes' sample texts have that Jaccard similarity; texts of linked classes only are joined."""
+    prints = classes.select("node", "_fp")
+    whole = links.join(prints.select(F.col("node").alias("a"), F.col("_fp").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("_fp").alias("fb")), "b")
+    links = pin(whole.where(_distance("fa", "fb", longs) <= max_distance).select("a", "b"))
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
     wanted = classes.join(ends, "node").select("node", F.col("sample_id").alias("w_id"), F.col("sample_hash").alias("w_hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.xxhash64(text_or_empty()).alias("d_hash"), text_or_empty().alias("t"))
@@ -183,8 +191,8 @@ def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
 
 #: Settings of the pipeline's stage: five-word shingles with a similarity of 0.8 or more decide; candidates
-#: come from 256-bit fingerprints of the word set, eight segments, balls of radius one.
-NEAR_COPIES = {"width": 1, "longs": 4, "distinct": True, "segments": 8, "radius": 1, "max_distance": 48, "jaccard": (5, 0.8)}
+#: come from 192-bit fingerprints of the word set, six segments, balls of radius one.
+NEAR_COPIES = {"width": 1, "longs": 3, "distinct": True, "segments": 6, "radius": 1, "max_distance": 36, "jaccard": (5, 0.8)}
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
