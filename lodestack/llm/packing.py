@@ -81,7 +81,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, proportions: dict[str |
     """
     tokens = tokenized(docs, vocabulary)
     places = pin(schedule(tokens.select("row", "doc_id", "source", "n")))
-    total = places.join(tokens.select("row", "n"), "row").agg(F.max(F.col("at") + F.col("n"))).first()[0] or 0
+    total = tokens.agg(F.sum("n")).first()[0] or 0
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
     names = [f.split()[0] for f in schema.split(", ")]
 

@@ -11,8 +11,8 @@ import os
 import re
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept by a worker before its table starts afresh. Only speed depends on it.
-TABLE_WORDS = 400_000
+#: Words and pieces of words kept by a worker before a table starts afresh. Only speed depends on them.
+TABLE_WORDS, TABLE_PIECES = 400_000, 600_000
 
 #: Words of these characters are cut into pieces without the tokenizer: ASCII and precomposed Latin-1.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -28,8 +28,18 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        import numpy as np
+        from tokenizers import pre_tokenizers
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
+        # Pieces are lower-case, composed and cut already: a space between two is all that has to be told apart.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -39,6 +49,22 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(items, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u2").tobytes() for e in found]
 
+    def _piece_ids(self, pieces: list[str], at_once: int = 1000) -> list[bytes]:
+        """As _ids, for pieces that each end in one token with the vocabulary's mark of an end."""
+        import numpy as np
+
+        groups = [pieces[i : i + at_once] for i in range(0, len(pieces), at_once)]
+        out: list[bytes] = []
+        for group, found in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u2")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(group):
+                out += self._ids(group)
+                continue
+            raw, stops = ids.tobytes(), (2 * ends).tolist()
+            out += [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        return out
+
     def _learn(self, missing: list[bytes]) -> None:
         cut: dict[bytes, list[str]] = {}
         odd: list[bytes] = []
@@ -52,9 +78,8 @@ class WordEncoder:
                         new[p] = None
             else:
                 odd.append(w)
-        for at in range(0, len(new), 20_000):
-            part = list(new)[at : at + 20_000] if len(new) > 20_000 else list(new)
-            self.pieces.update(zip(part, self._ids(part), strict=True))
+        fresh = list(new)
+        self.pieces.update(zip(fresh, self._piece_ids(fresh), strict=True))
         self.words.update((w, b"".join([self.pieces[p] for p in ps])) for w, ps in cut.items())
         if odd:
             self.words.update(zip(odd, self._ids([w.decode("utf-8", "replace") for w in odd]), strict=True))
@@ -65,7 +90,9 @@ class WordEncoder:
         missing = set().union(*split).difference(self.words) if split else set()
         if missing:
             if len(self.words) + len(missing) > TABLE_WORDS:
-                self.words, self.pieces = {}, {}
+                self.words = {}
+                if len(self.pieces) > TABLE_PIECES:
+                    self.pieces = {}
                 missing = set().union(*split)
             self._learn(list(missing))
         get = self.words.__getitem__
