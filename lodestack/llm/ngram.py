@@ -41,7 +41,7 @@ def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def _chunks(column, rows: int = 4096, size: int = 12 << 20):
+def _chunks(column, rows: int = 2048, size: int = 3 << 20):
     from lodestack.llm.tokens import slices
 
     yield from slices(column, rows, size)
@@ -63,7 +63,7 @@ def token_counts(training: DataFrame) -> DataFrame:
                 for t in texts:
                     held.update(split_words(t))
                 held[END_KEY] += len(texts)
-                if len(held) > 500_000:
+                if len(held) > 250_000:
                     yield out()
                     held.clear()
         if held:
@@ -131,7 +131,7 @@ def ngram_counts(training: DataFrame, shared) -> DataFrame:
                 symbols[ends] = END
                 held.append(np.concatenate([[END], symbols]))
                 size += len(flat)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     pairs = [histories(s) for s in held]
                     yield table(2, np.concatenate([p[0] for p in pairs]))
                     yield table(3, np.concatenate([p[1] for p in pairs]))
