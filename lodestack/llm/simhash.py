@@ -9,6 +9,9 @@ radius one find every link.
 No step makes all pairs of a group. Equal fingerprints collapse to one class first. The first round links
 every probe to one centre of each bucket it meets; the second joins buckets of two or more in full, but
 keeps links between different components only, so what it makes stays near the number of classes.
+
+The pipeline's near copies are told by five-word shingles instead. Too many bits of a SimHash differ at a
+similarity of 0.8, so their fingerprints are MinHash values, hashed in bands to keys that near copies share.
 """
 
 from __future__ import annotations
@@ -24,8 +27,13 @@ from lodestack.llm.common import lower_ascii, pin, text_or_empty
 from lodestack.llm.components import connected_components
 
 SEGMENT_BITS = 32
-#: Differing bits that longer fingerprints may have in their first 64, before they are compared whole.
-HEAD_BITS = 18
+#: Near copies of the pipeline: words of a shingle, least Jaccard similarity of the shingle sets.
+SHINGLE, LEAST_SIMILARITY = 5, 0.8
+#: Keys of a text and MinHash values in a key: a pair of similarity 0.8 shares a key with probability 0.9999.
+BANDS, ROWS = 30, 6
+#: Rounds of one centre a key before the rest is joined in full.
+CENTRE_ROUNDS = 3
+_FACTORS = np.random.default_rng(20).integers(1 << 31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _features(words: list[bytes], width: int, distinct: bool) -> list[bytes]:
@@ -93,30 +101,21 @@ def _probes(table: DataFrame, radius: int) -> DataFrame:
     return table.withColumn("key", F.explode(F.transform(mine, lambda m: F.col("key").bitwiseXOR(m))))
 
 
-def _distance(a: str, b: str, longs: int):
-    total = F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0]))
-    for i in range(1, longs):
-        total = total + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-    return total
-
-
 def _ends(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def hamming_components(classes: DataFrame, segments: int, radius: int, most: int, verify=None) -> DataFrame:
+def hamming_components(classes: DataFrame, segments: int, radius: int, most: int) -> DataFrame:
     """``classes(node long, _fp array<long>)``, fingerprints distinct -> ``(node, comp)`` of the linked classes.
 
-    ``most``: differing bits allowed in the first 64. Longer fingerprints are compared whole by ``verify``, a
-    function from a table of candidate links (a, b) to those that hold.
+    ``most``: differing bits allowed.
     """
-    verify = verify or (lambda links: links)
     near = lambda x: F.bit_count(F.col(x).bitwiseXOR(F.col("head"))) <= most
     table = _table(classes, segments)
     centres = table.groupBy("key").agg(F.min(F.struct("node", "head")).alias("c"), F.count("*").alias("n"))
     centres = centres.select(F.col("key").alias("k"), F.col("c.node").alias("centre"), F.col("c.head").alias("chead"), "n")
     first = _probes(table, radius).join(centres.drop("n"), (F.col("k") == F.col("key")) & (F.col("centre") != F.col("node")) & near("chead"))
-    links = pin(verify(first.select(*_ends("node", "centre")).distinct()))
+    links = pin(first.select(*_ends("node", "centre")).distinct())
     # Two steps to the least neighbour. Classes with one label are linked, so the second round may leave out their pairs.
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     one = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("l1"))
@@ -130,47 +129,79 @@ def hamming_components(classes: DataFrame, segments: int, radius: int, most: int
     if not rest.isEmpty():
         meet = (F.col("k") == F.col("key")) & (F.col("olabel") != F.col("label")) & near("ohead")
         second = _probes(_table(labelled, segments), radius).join(rest, meet)
-        links = links.unionByName(pin(verify(second.select(*_ends("node", "other")).distinct())))
+        links = links.unionByName(pin(second.select(*_ends("node", "other")).distinct()))
     return connected_components(links)
 
 
-def simhash_groups(docs: DataFrame, width: int = 3, longs: int = 1, distinct: bool = False, segments: int = 2, radius: int = 1, max_distance: int = 3, jaccard: tuple[int, float] | None = None) -> DataFrame:
+def simhash_groups(docs: DataFrame, width: int = 3, segments: int = 2, radius: int = 1, max_distance: int = 3) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, text_hash, _fp, component_id.
 
     component_id is the least doc_id reachable over links, the row's own included. Null and wordless texts
     have fingerprint zero and link like any other; rows with a null doc_id take part and are named by the
     other members (null if there are none). Repeated rows and ties share a class. Other columns are not
-    read. An empty table gives an empty result. ``jaccard=(w, t)`` keeps a link only if the texts' sets of
-    w-word shingles are similar to degree t.
+    read. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = with_fingerprints(rows, width, longs, distinct).withColumn("text_hash", F.xxhash64(text_or_empty()))
+    rows = with_fingerprints(rows, width, 1, False).withColumn("text_hash", F.xxhash64(text_or_empty()))
     rows = pin(rows.select("doc_id", "text_hash", "_fp"))
-    keys = [F.col("_fp")[i].alias(f"_f{i}") for i in range(longs)]
-    prints = [f"_f{i}" for i in range(longs)]
-    # With a similarity to verify, only equal texts are one class; else equal fingerprints are.
-    names = [*prints, "text_hash"] if jaccard else prints
-    per_class = rows.select("doc_id", "text_hash", *keys).groupBy(*names).agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("sample"))
-    classes = pin(per_class.select(F.monotonically_increasing_id().alias("node"), F.array(*prints).alias("_fp"), "first_id", F.col("sample.doc_id").alias("sample_id"), F.col("sample.text_hash").alias("sample_hash")))
-    if longs > 1 and not jaccard:
-        raise ValueError("fingerprints of more than 64 bits need a similarity to verify")
-    verify = (lambda links: _similar(links, classes, docs, longs, max_distance, *jaccard)) if jaccard else None
-
-    comps = hamming_components(classes.select("node", "_fp"), segments, radius, max_distance if longs == 1 else HEAD_BITS, verify)
+    per_class = rows.groupBy(F.col("_fp")[0].alias("_f0")).agg(F.min("doc_id").alias("first_id"))
+    classes = pin(per_class.select(F.monotonically_increasing_id().alias("node"), F.array("_f0").alias("_fp"), "first_id"))
+    comps = hamming_components(classes.select("node", "_fp"), segments, radius, max_distance)
     named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "comp").select(*(F.col("_fp")[i].alias(f"_f{i}") for i in range(longs)), F.col("sample_hash").alias("text_hash"), "component_id")
-    named = named.select(*names, "component_id")
-    return rows.select("doc_id", "text_hash", "_fp", *keys).join(named, names).select("doc_id", "text_hash", "_fp", "component_id")
+    named = named.join(least, "comp").select(F.col("_fp")[0].alias("_f0"), "component_id")
+    return rows.withColumn("_f0", F.col("_fp")[0]).join(named, "_f0").select("doc_id", "text_hash", "_fp", "component_id")
+
+
+def shingle_keys(text: str | None) -> list[int]:
+    """BANDS keys of the text's set of five-word shingles, each hashed from ROWS of its MinHash values.
+
+    Two texts of similarity J agree in a key with probability J^ROWS, whatever kind of edit lies between them,
+    and in one key or more with 1 - (1 - J^ROWS)^BANDS. Texts without words share all keys.
+    """
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    feats = _features(lower_ascii((text or "").encode("utf-8", "surrogatepass")).split(), SHINGLE, True)
+    hashes = np.array([digest(f, 7) & 0xFFFFFFFF for f in feats], dtype=np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS).min(axis=0), out=least)
+    raw = least.astype("<u4").tobytes()
+    return [digest(raw[4 * ROWS * i : 4 * ROWS * (i + 1)], i) - (1 << 63) for i in range(BANDS)]
 
 
-def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame, longs: int, max_distance: int, width: int, least: float) -> DataFrame:
-    """The links within ``max_distance`` whose classes' sample texts have that Jaccard similarity; texts of linked classes only are joined."""
-    prints = classes.select("node", "_fp")
-    whole = links.join(prints.select(F.col("node").alias("a"), F.col("_fp").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("_fp").alias("fb")), "b")
-    links = pin(whole.where(_distance("fa", "fb", longs) <= max_distance).select("a", "b"))
+def bucket_components(table: DataFrame, verify) -> DataFrame:
+    """``table(node long, key long)`` -> ``(node, comp)`` of the nodes linked by verified pairs that share a key.
+
+    Every round looks at the pairs of each key's members with one centre of that key and finds components. Keys
+    whose members are then of one component are done; what CENTRE_ROUNDS rounds leave apart is joined in
+    full, so every pair that shares a key is looked at or known to be connected.
+    """
+    crowded = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = pin(table.join(crowded, "key").select("node", "key"))
+    links, labels = None, members.select("node", F.col("node").alias("comp")).distinct()
+    for turn in range(CENTRE_ROUNDS + 1):
+        at = pin(members.join(labels, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp")))
+        lead = F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "node", "comp")).alias("c")
+        mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo <> hi")
+        mixed = pin(mixed.select("key", F.col("c.node").alias("other"), F.col("c.comp").alias("ocomp")))
+        if mixed.isEmpty():
+            break
+        if turn == CENTRE_ROUNDS:
+            mixed = at.join(mixed.select("key"), "key").select("key", F.col("node").alias("other"), F.col("comp").alias("ocomp"))
+        met = at.join(mixed, "key").where("comp <> ocomp").select(*_ends("node", "other")).distinct()
+        found = pin(verify(met))
+        links = found if links is None else links.unionByName(found)
+        labels = connected_components(links)
+    return labels
+
+
+def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links whose classes' sample texts have the similarity of near copies; texts of linked classes only are joined."""
+    links = pin(links)
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(ends, "node").select("node", F.col("sample_id").alias("w_id"), F.col("sample_hash").alias("w_hash"))
+    wanted = classes.join(ends, "node").select("node", F.col("sample_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.xxhash64(text_or_empty()).alias("d_hash"), text_or_empty().alias("t"))
     texts = texts.join(wanted, F.col("d_id").eqNullSafe(F.col("w_id")) & (F.col("d_hash") == F.col("w_hash"))).dropDuplicates(["node"]).select("node", "t")
     texts = pin(texts)
@@ -178,7 +209,7 @@ def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame, longs: int,
     @F.pandas_udf("double")
     def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
         def shingles(t: str) -> set[int]:
-            return set(map(hash, _features(lower_ascii(t.encode("utf-8", "surrogatepass")).split(), width, False)))
+            return set(map(hash, _features(lower_ascii(t.encode("utf-8", "surrogatepass")).split(), SHINGLE, False)))
 
         out = []
         for s, t in zip(x, y, strict=True):
@@ -187,23 +218,37 @@ def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame, longs: int,
         return pd.Series(out, dtype="float64")
 
     left, right = texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
-    return links.join(left, "a").join(right, "b").where(similarity("ta", "tb") >= least).select("a", "b")
+    return links.join(left, "a").join(right, "b").where(similarity("ta", "tb") >= LEAST_SIMILARITY).select("a", "b")
 
 
-#: Settings of the pipeline's stage: five-word shingles with a similarity of 0.8 or more decide; candidates
-#: come from 192-bit fingerprints of the word set, six segments, balls of radius one.
-NEAR_COPIES = {"width": 1, "longs": 3, "distinct": True, "segments": 6, "radius": 1, "max_distance": 36, "jaccard": (5, 0.8)}
+def near_copy_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, component_id per row of ``docs(doc_id, text, ...)``; equal texts are one class."""
+
+    @F.pandas_udf("array<long>")
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_keys(t) for t in texts])
+
+    rows = pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), keys(text_or_empty()).alias("_keys")))
+    sample = F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("sample")
+    per_class = rows.groupBy("text_hash").agg(F.first("_keys").alias("_keys"), F.min("doc_id").alias("first_id"), sample)
+    classes = pin(per_class.select(F.monotonically_increasing_id().alias("node"), "_keys", "text_hash", "first_id", F.col("sample.doc_id").alias("sample_id")))
+    comps = bucket_components(classes.select("node", F.explode("_keys").alias("key")), lambda links: _similar(links, classes, docs))
+    named = classes.select("node", "text_hash", "first_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+    named = named.join(least, "comp").select("text_hash", "component_id")
+    return rows.select("doc_id", "text_hash").join(named, "text_hash").select("doc_id", "text_hash", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group left, all columns kept: that of the least doc_id (null last).
 
-    Wordless texts are one group. Of repeated rows one stays. Extra columns may have any name.
+    Near copies share LEAST_SIMILARITY or more of their five-word shingles. Wordless texts are one group. Of
+    repeated rows one stays. Extra columns may have any name.
     """
-    groups = pin(simhash_groups(docs, **(settings or NEAR_COPIES)).select("doc_id", "text_hash", "_fp", "component_id"))
+    groups = pin(near_copy_groups(docs))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    # Rows of a group without any doc_id differ in their fingerprint at most by what links them; one per fingerprint class then.
-    key = F.when(F.col("component_id").isNull(), F.xxhash64("_fp")).otherwise(F.lit(0))
+    # Rows of a group without any doc_id: one per text.
+    key = F.when(F.col("component_id").isNull(), F.col("text_hash")).otherwise(F.lit(0))
     first = groups.groupBy("component_id", key.alias("k")).agg(F.min(order).alias("o"))
     chosen = first.select(F.col("o.doc_id").alias("_ndk_id"), F.col("o.text_hash").alias("_ndk_hash"))
     repeated = groups.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_ndr_id"), F.col("text_hash").alias("_ndr_hash"))

@@ -284,3 +284,49 @@ def test_scan_stitches_blocks_and_reports_open_ends(spark, tmp_path):
     for block in (2, 6, 10, 1 << 20):
         got = sorted((r.ordinal, r.n_tokens, r.complete) for r in tokencount.scan_token_files(files, str(tmp_path), block_bytes=block).collect())
         assert got == [(0, 2, True), (1, 0, True), (2, 29, True), (3, 3, False)]
+
+
+def near_copies(seed, n=240):
+    """A text and copies of it edited in one place, at scattered places, at the front and by leaving out."""
+    import random
+
+    r = random.Random(seed)
+    vocabulary = [f"w{int(r.paretovariate(0.9)) % 5000}" for _ in range(4000)]
+    base = r.choices(vocabulary, k=n)
+    k = r.randint(1, n // 5 - 1)
+    new = [f"n{seed}x{i}" for i in range(k)]
+    few = list(base)
+    for i in r.sample(range(n), max(1, k // 10)):
+        few[i] = f"s{seed}x{i}"
+    return base, {"appended": base + new, "prepended": new + base, "substituted": few, "shortened": base[: n - k]}
+
+
+def shingle_similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_every_kind_are_met():
+    met = Counter()
+    for seed in range(250):
+        base, edited = near_copies(seed)
+        keys = set(simhash.shingle_keys(" ".join(base)))
+        for kind, other in edited.items():
+            j = shingle_similarity(base, other)
+            if 0.8 <= j < 1:
+                met[kind, min(int(j * 20), 19) / 20, bool(keys & set(simhash.shingle_keys(" ".join(other))))] += 1
+    print(sorted(met.items()))
+    for kind in ("appended", "prepended", "substituted", "shortened"):
+        hit, missed = (sum(c for k, c in met.items() if k[0] == kind and k[2] is x) for x in (True, False))
+        assert hit > 100 and missed <= 0.01 * hit
+
+
+def test_near_duplicate_groups_are_those_of_all_pairs(spark):
+    rows = []
+    for seed in range(12):
+        base, edited = near_copies(seed, 60)
+        rows += [" ".join(t) for t in (base, *edited.values())]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    root = groups(rows, lambda a, b: shingle_similarity(a.split(), b.split()) >= 0.8)
+    got = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert got == set(root) and len(got) < len(rows)
