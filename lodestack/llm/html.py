@@ -23,10 +23,17 @@ PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 128, 24, 8
 DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
 HIDDEN = 16
 
-#: Content is never text of the page.
-_DROPPED = "script|style|noscript|template|svg|math|iframe|object|head|title|select|textarea|canvas|audio|video"
+#: Content is never text of the page. What is not a tag in there reads to its end tag, or else to the end of the page.
+_RAW = frozenset("script style iframe title textarea".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
+#: Left out as well, but only up to an end tag of their own.
+_LEFT_OUT = frozenset("noscript template svg math object select canvas audio video".split())
+_FOREIGN = frozenset({"svg", "math"})
+#: Tags that do not end a head.
+_IN_HEAD = frozenset("head html base basefont bgsound link meta title noscript noframes style script template".split())
+_HEAD_END = re.compile(r"</head\s*>", re.I)
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<drop>{_DROPPED})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=drop)\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>",
     re.I | re.S,
 )
@@ -35,6 +42,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: An opening tag of the left closes an open tag of the right.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BREAKS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_OPTIONS = frozenset({"option", "optgroup"})
+#: Tags that end an unclosed drawing or formula.
+_HTML_ONLY = _BREAKS_P | frozenset("b big body br center code dd dt em embed i img li menu nobr ruby s small span strike strong sub sup tr td th tbody thead tt u var html figure figcaption label button".split())
 _MARK = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -49,6 +59,60 @@ def _marks(tag: str, attrs: str) -> list[int]:
     return found
 
 
+def _tokens(src: str) -> list[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag or None, is an end tag, attributes) of the page's tags; what is left out is one token without a tag.
+
+    An element of _LEFT_OUT that lacks an end tag of its own: a foreign one ends at the first tag that HTML does
+    not allow in it, a select at the first tag but an option's, of others only the tag is left out.
+    """
+    found: list[tuple[int, int, str | None, bool, str]] = []
+    opened: dict[str, list[int]] = {}
+    closes: dict[int, int] = {}
+    at = 0
+    while m := _TOKEN.search(src, at):
+        a, at = m.span()
+        tag = m["tag"]
+        if tag is None:
+            found.append((a, at, None, False, ""))
+            continue
+        tag, ends, attrs = tag.lower(), bool(m["end"]), m["attrs"]
+        empty = attrs.endswith("/")
+        if tag in _RAW and not ends:
+            if not (empty and any(opened.get(f) for f in _FOREIGN)):
+                stop = _RAW_END[tag].search(src, at)
+                at = stop.end() if stop else len(src)
+            found.append((a, at, None, False, ""))
+            continue
+        if tag in _LEFT_OUT:
+            if ends:
+                if opened.get(tag):
+                    closes[opened[tag].pop()] = len(found)
+            elif not (empty and tag in _FOREIGN and (len(attrs) < 2 or attrs[-2] in " \t\r\n\f\"'")):
+                opened.setdefault(tag, []).append(len(found))
+        found.append((a, at, tag, ends, attrs))
+    out = []
+    i = 0
+    while i < len(found):
+        a, at, tag, ends, attrs = found[i]
+        if tag in _LEFT_OUT:
+            j = i + 1
+            if ends:
+                pass
+            elif i in closes:
+                at, j = found[closes[i]][1], closes[i] + 1
+            elif tag == "select" or (tag in _FOREIGN and not attrs.endswith("/")):
+                inside = (lambda t: t is None or t in _OPTIONS) if tag == "select" else (lambda t: t is None or t not in _HTML_ONLY)
+                while j < len(found) and inside(found[j][2]):
+                    j += 1
+                at = found[j][0] if j < len(found) else found[j - 1][1]
+            out.append((a, at, None, False, ""))
+            i = j
+            continue
+        out.append(found[i])
+        i += 1
+    return out
+
+
 class Block:
     __slots__ = ("linked", "marks", "tag", "text")
 
@@ -68,6 +132,8 @@ def blocks(page: str | None) -> list[Block]:
     anchors = 0
     at = 0
     src = page or ""
+    head = shut = False
+    last_end = None
 
     def flush():
         nonlocal linked
@@ -79,26 +145,35 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(text, min(linked, len(text)), marks, stack[-1][0] if stack else ""))
         linked = 0
 
-    for m in _TOKEN.finditer(src):
-        a = m.start()
+    for a, stop, tag, ends, attrs in _tokens(src):
         if a > at:
             piece = src[at:a]
-            held.append(piece)
-            if anchors:
-                linked += len(piece)
-        at = m.end()
-        tag = m["tag"]
+            # Text ends a head that lacks its end tag.
+            head = head and (shut or piece.isspace())
+            if not head:
+                held.append(piece)
+                if anchors:
+                    linked += len(piece)
+        at = stop
         if tag is None:
             continue
-        tag = tag.lower()
+        if tag == "head":
+            flush()
+            head = not ends
+            if last_end is None:
+                last_end = max((m.start() for m in _HEAD_END.finditer(src)), default=-1)
+            shut = head and last_end >= at
+            continue
+        if head and tag not in _IN_HEAD:
+            head = False
         if tag in _INLINE:
             if tag == "br" or tag in {"td", "th"}:
                 held.append(" ")
             if tag == "a":
-                anchors = 0 if m["end"] else 1
+                anchors = 0 if ends else 1
             continue
         flush()
-        if m["end"]:
+        if ends:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -108,8 +183,8 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if stack and (stack[-1][0] in _CLOSES.get(tag, ()) or (stack[-1][0] == "p" and tag in _BREAKS_P)):
             stack.pop()
-        stack.append((tag, _marks(tag, m["attrs"])))
-    if at < len(src):
+        stack.append((tag, _marks(tag, attrs)))
+    if at < len(src) and not (head and shut):
         held.append(src[at:])
     flush()
     return out

@@ -161,3 +161,23 @@ def test_pipeline_stages(spark, docs):
         d = stage(spark, d, "")
         assert d.columns == docs.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<head><meta charset=u><title>t</title><body><article><p>one<p>two", ["one", "two"]),
+        ("<html><head><title>t</title><article><p>one</p></article>", ["one"]),
+        ("<head><meta>one<p>two", ["one", "two"]),
+        ("<head>x<title>t</title></head><p>one", ["one"]),
+        ("<p>a <svg class=i/> one.</p><p>two", ["a one.", "two"]),
+        ('<p>a<svg class="i" /><math/> b</p><svg><path/><svg>x</svg>y</svg><p>c', ["a b", "c"]),
+        ("<svg><title/><path d=x></svg><p>one</p><svg><text>no<p>two", ["one", "two"]),
+        ("<div><select><option>x<option>y<p>one</p></div><p>two<select><option>z</select>", ["one", "two"]),
+        ("<object data=x><p>one</p><video src=y><p>two", ["one", "two"]),
+        ("<!--><p>one<!-- x --!><p>two<!-- rest", ["one", "two"]),
+        ("<p>one<script>if (a < b) '</p>'", ["one"]),
+    ],
+)
+def test_left_out_elements_do_not_swallow_the_page(page, want):
+    assert [b.text for b in html.blocks(page)] == want
