@@ -15,12 +15,12 @@ from pyspark.sql.window import Window
 
 from lodestack.llm.common import text_or_empty
 
-#: Bounds of the training sample: texts per language, bytes of a dictionary, bytes of one text.
-SAMPLE_TEXTS, DICTIONARY_BYTES, TEXT_BYTES = 400, 160 << 10, 1024
-SPARE = 8
+#: Bounds of the training sample: texts per language, bytes of one text.
+SAMPLE_TEXTS, TEXT_BYTES = 400, 1024
 BLOCK_BYTES = 4096
-#: Short matches count in short texts: lazy parsing with matches of four bytes or more.
-MIN_MATCH, WINDOW_LOG, TABLE_LOG, SEARCH_LOG = 4, 18, 17, 4
+#: Short matches count in short texts: lazy parsing with matches of four bytes or more. Tables hold every
+#: place of a full dictionary; smaller ones would forget its first texts.
+MIN_MATCH, WINDOW_LOG, TABLE_LOG, SEARCH_LOG = 4, 19, 19, 4
 #: Rejected below this relative margin between the smallest and the next size.
 LEAST_MARGIN = 0.002
 UNKNOWN = "und"
@@ -34,26 +34,20 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary content per language, from a bounded sample of labelled rows spread by a hash of their text.
 
-    The texts with the least hashes are taken, SAMPLE_TEXTS of each language; equal texts count once. Before
-    anything is sorted, rows with hashes above what some SPARE times that number should have are left out, so
-    what is ranked does not grow with the table. What the driver gets is bounded per language.
+    The texts with the least hashes are taken, SAMPLE_TEXTS of each language or all there are; equal texts count
+    once, however many rows they have. Hashes alone are ranked, first within each partition. What the driver gets is bounded
+    per language.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rates = {r.lang: min(1.0, SPARE * SAMPLE_TEXTS / r.n) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not rates:
-        return {}
-    rate = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[F.col("lang")]
-    place = F.shiftrightunsigned(F.col("h"), 11).cast("double") / float(1 << 53)
-    # Samples only: a text that is judged is read whole.
     given = labelled.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, TEXT_BYTES).alias("text"))
-    distinct = given.where(place < rate).groupBy("lang", "h").agg(F.min("text").alias("text"))
     w = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.col("h"), 11), "h")
-    rows = distinct.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_TEXTS).collect()
+    least = given.select("lang", "h").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_TEXTS)
+    # Samples only: a text that is judged is read whole.
+    rows = given.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     content: dict[str, bytes] = {}
     for lang in sorted({r.lang for r in rows}):
         mine = sorted((r for r in rows if r.lang == lang), key=lambda r: r.h)
-        joined = b"\n".join(r.text.lower().encode("utf-8", "replace")[:TEXT_BYTES] for r in mine)
-        content[lang] = joined[-DICTIONARY_BYTES:]
+        content[lang] = b"\n".join(r.text.lower().encode("utf-8", "replace")[:TEXT_BYTES] for r in mine)
     return content
 
 

@@ -330,3 +330,18 @@ def test_near_duplicate_groups_are_those_of_all_pairs(spark):
     root = groups(rows, lambda a, b: shingle_similarity(a.split(), b.split()) >= 0.8)
     got = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
     assert got == set(root) and len(got) < len(rows)
+
+
+def test_languages_of_copies_get_their_full_sample(spark):
+    text = F.concat(F.lit("text number "), (F.col("id") % 5).cast("string"), F.lit(" of "), F.col("lang"))
+    langs = spark.createDataFrame([(f"l{i}",) for i in range(3)], "lang string")
+    content = langid.train(spark.range(20000).crossJoin(langs).select("lang", text.alias("text")))
+    assert {k: sorted(v.split(b"\n")) for k, v in content.items()} == {f"l{i}": [b"text number %d of l%d" % (k, i) for k in range(5)] for i in range(3)}
+
+
+def test_all_sampled_texts_are_learned(spark):
+    texts = [hashlib.shake_256(b"%d" % i).hexdigest(512) for i in range(400)]
+    content = langid.train(spark.createDataFrame([("x", t) for t in texts], "lang string, text string"))
+    assert len(content["x"]) == 400 * 1025 - 1
+    classify = langid.Classifier(content)
+    assert max(classify.sizes(t)[0] for t in texts) < 100
