@@ -222,7 +222,7 @@ def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, component_id per row of ``docs(doc_id, text, ...)``; equal texts are one class."""
+    """doc_id, text_hash, comp per row of ``docs(doc_id, text, ...)``: comp is a node's number, no doc_id; equal texts are one class."""
 
     @F.pandas_udf("array<long>")
     def keys(texts: pd.Series) -> pd.Series:
@@ -230,13 +230,11 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
 
     rows = pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), keys(text_or_empty()).alias("_keys")))
     sample = F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("sample")
-    per_class = rows.groupBy("text_hash").agg(F.first("_keys").alias("_keys"), F.min("doc_id").alias("first_id"), sample)
-    classes = pin(per_class.select(F.monotonically_increasing_id().alias("node"), "_keys", "text_hash", "first_id", F.col("sample.doc_id").alias("sample_id")))
+    per_class = rows.groupBy("text_hash").agg(F.first("_keys").alias("_keys"), sample)
+    classes = pin(per_class.select(F.monotonically_increasing_id().alias("node"), "_keys", "text_hash", F.col("sample.doc_id").alias("sample_id")))
     comps = bucket_components(classes.select("node", F.explode("_keys").alias("key")), lambda links: _similar(links, classes, docs))
-    named = classes.select("node", "text_hash", "first_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "comp").select("text_hash", "component_id")
-    return rows.select("doc_id", "text_hash").join(named, "text_hash").select("doc_id", "text_hash", "component_id")
+    named = classes.select("node", "text_hash").join(comps, "node", "left").select("text_hash", F.coalesce("comp", "node").alias("comp"))
+    return rows.select("doc_id", "text_hash").join(named, "text_hash").select("doc_id", "text_hash", "comp")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -247,9 +245,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     groups = pin(near_copy_groups(docs))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    # Rows of a group without any doc_id: one per text.
-    key = F.when(F.col("component_id").isNull(), F.col("text_hash")).otherwise(F.lit(0))
-    first = groups.groupBy("component_id", key.alias("k")).agg(F.min(order).alias("o"))
+    first = groups.groupBy("comp").agg(F.min(order).alias("o"))
     chosen = first.select(F.col("o.doc_id").alias("_ndk_id"), F.col("o.text_hash").alias("_ndk_hash"))
     repeated = groups.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_ndr_id"), F.col("text_hash").alias("_ndr_hash"))
     chosen = pin(chosen.join(repeated, F.col("_ndk_id").eqNullSafe(F.col("_ndr_id")) & (F.col("_ndk_hash") == F.col("_ndr_hash")), "left").select("_ndk_id", "_ndk_hash", F.col("_ndr_hash").isNotNull().alias("_ndk_many")))

@@ -345,3 +345,13 @@ def test_all_sampled_texts_are_learned(spark):
     assert len(content["x"]) == 400 * 1025 - 1
     classify = langid.Classifier(content)
     assert max(classify.sizes(t)[0] for t in texts) < 100
+
+
+def test_groups_with_clashing_or_null_ids_stay_apart(spark):
+    a, b, c = (near_copies(seed, 60) for seed in (101, 102, 103))
+    rows = [(1, a[0]), (1, b[0]), (2, b[1]["substituted"]), (None, c[0]), (None, c[1]["substituted"]), (None, near_copies(104, 60)[0])]
+    assert all(shingle_similarity(x[0], x[1]["substituted"]) >= 0.8 for x in (b, c))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = simhash.drop_near_duplicates(docs).collect()
+    assert {" ".join(t) for t in (a[0], b[0])} == {r.text for r in got if r.doc_id == 1}
+    assert Counter(r.doc_id for r in got) == {1: 2, None: 2}
