@@ -10,8 +10,10 @@ No step makes all pairs of a group. Equal fingerprints collapse to one class fir
 every probe to one centre of each bucket it meets; the second joins buckets of two or more in full, but
 keeps links between different components only, so what it makes stays near the number of classes.
 
-The pipeline's near copies are told by five-word shingles instead. Too many bits of a SimHash differ at a
-similarity of 0.8, so their fingerprints are MinHash values, hashed in bands to keys that near copies share.
+The pipeline's near copies are told by five-word shingles instead. At a similarity of 0.8 some 10 of 64 bits of
+a SimHash differ, so that balls of radius one around 32-bit segments meet one pair in thirty a segment. Their
+fingerprints therefore consist of MinHash values; the segments of the multi-index are bands of six values, met
+without a ball, and the complete similarity is verified.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ SEGMENT_BITS = 32
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
 #: Keys of a text and MinHash values in a key: a pair of similarity 0.8 shares a key with probability 0.9999.
 BANDS, ROWS = 30, 6
-#: Rounds of one centre a key before the rest is joined in full.
-CENTRE_ROUNDS = 3
+#: Members of a key that are joined in full from the second turn on; turns before all the rest is.
+SMALL, TURNS = 16, 5
 _FACTORS = np.random.default_rng(20).integers(1 << 31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Odd factor that mixes the hashes of a shingle's words.
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _features(words: list[bytes], width: int, distinct: bool) -> list[bytes]:
@@ -153,6 +157,20 @@ def simhash_groups(docs: DataFrame, width: int = 3, segments: int = 2, radius: i
     return rows.withColumn("_f0", F.col("_fp")[0]).join(named, "_f0").select("doc_id", "text_hash", "_fp", "component_id")
 
 
+def _shingle_hashes(text: str | None) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct five-word shingles (of all words if they are fewer), mixed from those of the words."""
+    import xxhash
+
+    words = lower_ascii((text or "").encode("utf-8", "surrogatepass")).split()
+    single = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    width = min(SHINGLE, len(words))
+    mixed = np.full(len(words) - width + 1 if words else 0, width, dtype=np.uint64)
+    for i in range(width):
+        mixed = (mixed + single[i : i + len(mixed)]) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
 def shingle_keys(text: str | None) -> list[int]:
     """BANDS keys of the text's set of five-word shingles, each hashed from ROWS of its MinHash values.
 
@@ -162,8 +180,7 @@ def shingle_keys(text: str | None) -> list[int]:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    feats = _features(lower_ascii((text or "").encode("utf-8", "surrogatepass")).split(), SHINGLE, True)
-    hashes = np.array([digest(f, 7) & 0xFFFFFFFF for f in feats], dtype=np.uint32)
+    hashes = _shingle_hashes(text).astype(np.uint32)
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(hashes), 1024):
         np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS).min(axis=0), out=least)
@@ -171,58 +188,85 @@ def shingle_keys(text: str | None) -> list[int]:
     return [digest(raw[4 * ROWS * i : 4 * ROWS * (i + 1)], i) - (1 << 63) for i in range(BANDS)]
 
 
-def bucket_components(table: DataFrame, verify) -> DataFrame:
-    """``table(node long, key long)`` -> ``(node, comp)`` of the nodes linked by verified pairs that share a key.
+def bucket_components(members: DataFrame, keys: DataFrame, verify) -> DataFrame:
+    """``members(node long, key long, band int)`` -> ``(node, comp)`` of the nodes linked by verified pairs that share a key.
 
-    Every round looks at the pairs of each key's members with one centre of that key and finds components. Keys
-    whose members are then of one component are done; what CENTRE_ROUNDS rounds leave apart is joined in
-    full, so every pair that shares a key is looked at or known to be connected.
+    ``keys(node, _keys)``: all keys of a node, by band. Turn 0 looks at the pairs of every key's members with one
+    centre of that key. Members that are then of one component are done. Of the keys that still hold several
+    components, those of SMALL members or fewer are joined in full; larger ones get another centre, and from the
+    next turn on are split by a further key that their members share, so that texts which agree in one common
+    passage part while near copies, which agree in many keys, meet again. What the last turn finds unsplit is
+    joined in full. No pair is dropped; a pair whose only meeting is in a large key is met if it shares as many
+    keys as there were splits, one more each.
     """
-    crowded = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = pin(table.join(crowded, "key").select("node", "key"))
-    links, labels = None, members.select("node", F.col("node").alias("comp")).distinct()
-    for turn in range(CENTRE_ROUNDS + 1):
-        at = pin(members.join(labels, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp")))
-        lead = F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "node", "comp")).alias("c")
-        mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo <> hi")
-        mixed = pin(mixed.select("key", F.col("c.node").alias("other"), F.col("c.comp").alias("ocomp")))
+    links, labels, at = None, None, members.withColumn("comp", F.col("node"))
+    for turn in range(TURNS):
+        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("c")
+        mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo <> hi")
+        mixed = pin(mixed.select("key", "n", F.col("c.node").alias("other"), F.col("c.comp").alias("ocomp")))
         if mixed.isEmpty():
             break
-        if turn == CENTRE_ROUNDS:
-            mixed = at.join(mixed.select("key"), "key").select("key", F.col("node").alias("other"), F.col("comp").alias("ocomp"))
-        met = at.join(mixed, "key").where("comp <> ocomp").select(*_ends("node", "other")).distinct()
-        found = pin(verify(met))
+        full = F.lit(turn > 0) & ((F.col("n") <= SMALL) | F.lit(turn == TURNS - 1))
+        met = at.join(mixed.where(~full), "key").where("comp <> ocomp").select(*_ends("node", "other"))
+        if turn:
+            mine = at.join(mixed.where(full).select("key"), "key").select("key", "node", "comp")
+            theirs = mine.select("key", F.col("node").alias("other"), F.col("comp").alias("ocomp"))
+            met = met.unionByName(mine.join(theirs, "key").where("node < other and comp <> ocomp").select(*_ends("node", "other")))
+        found = verify(pin(met.distinct()))
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)
-    return labels
+        if turn == TURNS - 1:
+            break
+        rest = at.join(mixed.where((F.col("n") > SMALL) | F.lit(turn == 0)).select("key"), "key").drop("comp")
+        if turn:
+            rest = rest.join(keys, "node").select("node", "key", "band", F.posexplode("_keys").alias("more", "by")).where("more > band")
+            rest = rest.select("node", F.xxhash64("key", "by").alias("key"), F.col("more").alias("band"))
+        at = pin(rest.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    return labels if labels is not None else at.select("node", "comp").limit(0)
+
 
+def _verifier(classes: DataFrame, docs: DataFrame):
+    """A function from ``links(a, b)`` to those whose texts have the similarity of near copies.
 
-def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links whose classes' sample texts have the similarity of near copies; texts of linked classes only are joined."""
-    links = pin(links)
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(ends, "node").select("node", F.col("sample_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.xxhash64(text_or_empty()).alias("d_hash"), text_or_empty().alias("t"))
-    texts = texts.join(wanted, F.col("d_id").eqNullSafe(F.col("w_id")) & (F.col("d_hash") == F.col("w_hash"))).dropDuplicates(["node"]).select("node", "t")
-    texts = pin(texts)
+    The first call fetches the sets of shingle hashes of all nodes that it is given; later calls must not name others.
+    """
+    held: list[DataFrame] = []
 
-    @F.pandas_udf("double")
-    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-        def shingles(t: str) -> set[int]:
-            return set(map(hash, _features(lower_ascii(t.encode("utf-8", "surrogatepass")).split(), SHINGLE, False)))
+    @F.pandas_udf("binary")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingle_hashes(t).tobytes() for t in texts])
 
+    @F.pandas_udf("boolean")
+    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for s, t in zip(x, y, strict=True):
-            p, q = shingles(s), shingles(t)
-            out.append(len(p & q) / len(p | q) if p or q else 1.0)
-        return pd.Series(out, dtype="float64")
-
-    left, right = texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
-    return links.join(left, "a").join(right, "b").where(similarity("ta", "tb") >= LEAST_SIMILARITY).select("a", "b")
+            p, q = np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64)
+            small, large = (p, q) if len(p) < len(q) else (q, p)
+            if len(small) < LEAST_SIMILARITY * len(large):
+                out.append(False)
+                continue
+            at = np.minimum(np.searchsorted(large, small), max(len(large) - 1, 0))
+            both = int((large[at] == small).sum()) if len(large) else 0
+            either = len(p) + len(q) - both
+            out.append(not either or both >= LEAST_SIMILARITY * either)
+        return pd.Series(out, dtype="bool")
+
+    def verify(links: DataFrame) -> DataFrame:
+        if not held:
+            ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+            wanted = classes.join(ends, "node").select("node", F.col("sample.doc_id").alias("w_id"))
+            texts = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.xxhash64(text_or_empty()).alias("d_hash"), text_or_empty().alias("t"))
+            # One row stands for a text, whatever the number of its copies; equal rows are told apart by nothing.
+            met = texts.join(wanted, F.col("d_id").eqNullSafe(F.col("w_id")) & (F.col("d_hash") == F.col("node")))
+            held.append(pin(met.groupBy("node").agg(F.min("t").alias("t")).select("node", shingles("t").alias("set"))))
+        left, right = (held[0].select(F.col("node").alias(e), F.col("set").alias(f"set_{e}")) for e in "ab")
+        return pin(links.join(left, "a").join(right, "b").where(similar("set_a", "set_b")).select("a", "b"))
+
+    return verify
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, comp per row of ``docs(doc_id, text, ...)``: comp is a node's number, no doc_id; equal texts are one class."""
+    """doc_id, text_hash, comp per row of ``docs(doc_id, text, ...)``: comp is a text's hash, no doc_id; equal texts are one node."""
 
     @F.pandas_udf("array<long>")
     def keys(texts: pd.Series) -> pd.Series:
@@ -230,11 +274,13 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
 
     rows = pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), keys(text_or_empty()).alias("_keys")))
     sample = F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("sample")
-    per_class = rows.groupBy("text_hash").agg(F.first("_keys").alias("_keys"), sample)
-    classes = pin(per_class.select(F.monotonically_increasing_id().alias("node"), "_keys", "text_hash", F.col("sample.doc_id").alias("sample_id")))
-    comps = bucket_components(classes.select("node", F.explode("_keys").alias("key")), lambda links: _similar(links, classes, docs))
-    named = classes.select("node", "text_hash").join(comps, "node", "left").select("text_hash", F.coalesce("comp", "node").alias("comp"))
-    return rows.select("doc_id", "text_hash").join(named, "text_hash").select("doc_id", "text_hash", "comp")
+    classes = pin(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("_keys").alias("_keys"), sample))
+    every = classes.select("node", F.posexplode("_keys").alias("band", "key"))
+    crowded = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = pin(every.join(crowded, "key").select("node", "key", "band"))
+    comps = bucket_components(members, classes.select("node", "_keys"), _verifier(classes, docs))
+    named = comps.select(F.col("node").alias("text_hash"), "comp")
+    return rows.select("doc_id", "text_hash").join(named, "text_hash", "left").select("doc_id", "text_hash", F.coalesce("comp", "text_hash").alias("comp"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
