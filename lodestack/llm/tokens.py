@@ -16,8 +16,19 @@ TABLE_WORDS, TABLE_PIECES = 400_000, 600_000
 
 #: Words of these characters are cut into pieces without the tokenizer: ASCII and precomposed Latin-1.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PIECE = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+")
 
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letters of byte-level vocabularies for the UTF-8 bytes of U+0080 to U+00FF: printable bytes stand for themselves, the rest follow from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+
+
+_BYTES = _byte_letters()
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
@@ -36,12 +47,12 @@ class WordEncoder:
         # Pieces are lower-case, composed and cut already: a space between two is all that has to be told apart.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self._forget()
 
     def _ids(self, items: list[str]) -> list[bytes]:
         import numpy as np
@@ -55,7 +66,7 @@ class WordEncoder:
 
         groups = [pieces[i : i + at_once] for i in range(0, len(pieces), at_once)]
         out: list[bytes] = []
-        for group, found in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, found in zip(groups, self.plain.encode_batch_fast([" ".join(g).translate(_BYTES) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype="<u2")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(group):
@@ -66,37 +77,56 @@ class WordEncoder:
         return out
 
     def _learn(self, missing: list[bytes]) -> None:
-        cut: dict[bytes, list[str]] = {}
-        odd: list[bytes] = []
-        new: dict[str, None] = {}
-        for w in missing:
-            s = w.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(s) and "<|" not in s:
-                cut[w] = pieces = _PIECE.findall(s.lower())
-                for p in pieces:
-                    if p not in self.pieces:
-                        new[p] = None
-            else:
-                odd.append(w)
-        fresh = list(new)
-        self.pieces.update(zip(fresh, self._piece_ids(fresh), strict=True))
-        self.words.update((w, b"".join([self.pieces[p] for p in ps])) for w, ps in cut.items())
+        """Words of plain characters are cut into pieces all at once, a line end between two; pieces known already are looked up."""
+        import numpy as np
+
+        decoded = [w.decode("utf-8", "replace") for w in missing]
+        plain = [bool(_PLAIN.fullmatch(s)) and "<|" not in s for s in decoded]
+        odd = [i for i, p in enumerate(plain) if not p]
         if odd:
-            self.words.update(zip(odd, self._ids([w.decode("utf-8", "replace") for w in odd]), strict=True))
+            self.words.update(zip([missing[i] for i in odd], self._ids([decoded[i] for i in odd]), strict=True))
+            missing = [w for w, p in zip(missing, plain, strict=True) if p]
+            decoded = [s for s, p in zip(decoded, plain, strict=True) if p]
+        pieces = _PIECE.findall("\n".join([*decoded, ""]).lower())
+        fresh = list(set(pieces).difference(self.pieces))
+        if fresh:
+            found = self._piece_ids(fresh)
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+            begin = len(self.flat) + np.cumsum(sizes) - sizes
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), dtype="<u2")])
+            self.pieces.update(zip(fresh, range(len(self.begin), len(self.begin) + len(fresh)), strict=True))
+            self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
+        places = np.fromiter(map(self.pieces.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        sizes = self.size[places]
+        stops = np.cumsum(sizes)
+        at = np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(self.begin[places] - (stops - sizes), sizes)
+        raw, ends = self.flat[at].tobytes(), (2 * stops[places == 0]).tolist()
+        self.words.update(zip(missing, [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+
+    def _forget(self) -> None:
+        import numpy as np
+
+        # Piece 0 is the line end between two words; it has no ids.
+        self.pieces: dict[str, int] = {"\n": 0}
+        self.flat, self.begin, self.size = np.zeros(0, dtype="<u2"), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of every text; null is empty. Call it with bounded batches."""
         split = [(t or b"").split() for t in texts]
-        missing = set().union(*split).difference(self.words) if split else set()
+        get = self.words.get
+        found = [list(map(get, ws)) for ws in split]
+        holes = [[i for i, f in enumerate(fs) if f is None] for fs in found]
+        missing = {ws[i] for ws, at in zip(split, holes, strict=True) for i in at}
         if missing:
             if len(self.words) + len(missing) > TABLE_WORDS:
                 self.words = {}
                 if len(self.pieces) > TABLE_PIECES:
-                    self.pieces = {}
-                missing = set().union(*split)
+                    self._forget()
             self._learn(list(missing))
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            for ws, fs, at in zip(split, found, holes, strict=True):
+                for i in at:
+                    fs[i] = self.words[ws[i]]
+        return list(map(b"".join, found))
 
 
 def encoder(path: str | None = None, literal: bool = False) -> WordEncoder:

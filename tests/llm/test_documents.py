@@ -229,14 +229,39 @@ def test_packing(docs, empty):
 
 
 def test_windows_keep_to_proportions(spark):
-    rows = [(i, "w " * (40 + i % 7), "ab"[i % 4 == 0]) for i in range(1200)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    source = {r[0]: r[2] for r in rows}
-    per = {}
+    # Long documents, a queue of few long ones, a null source and sources below a queue of their own.
+    rows = [(i, "w " * (4000 if i % 50 == 0 else 40 + i % 7), "ab"[i % 4 == 0]) for i in range(1200)]
+    rows += [(2000 + i, "x " * 9000, None) for i in range(3)] + [(3000 + i, "y z", f"rare{i}") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    source = {r[0]: "rare" if (r[2] or "").startswith("rare") else r[2] for r in rows}
+    per, total = {}, Counter()
     for r in packing.pack(d).collect():
         per.setdefault(r.sequence_id, Counter())[source[r.doc_id]] += r.length
-    share = sum(v["b"] for v in per.values()) / sum(sum(v.values()) for v in per.values())
-    assert all(abs(v["b"] - share * 4096) <= 2 * 60 for k, v in per.items() if k != max(per))
+        total[source[r.doc_id]] += r.length
+    every = sum(total.values())
+    assert sum(per[max(per)].values()) == every - 4096 * max(per)
+    for k, held in per.items():
+        if k != max(per):
+            assert sum(held.values()) == 4096
+            assert all(abs(held[s] - 4096 * n / every) <= 2 for s, n in total.items() if s != "rare")
+
+
+def test_schedule_covers_every_token_once():
+    rng = np.random.default_rng(3)
+    for trial in range(30):
+        sizes = rng.integers(1, 60_000, rng.integers(1, 9))
+        sizes = sizes[sizes * 4096 >= packing.LEAST_QUANTUM * sizes.sum()]
+        rounds = packing.Rounds(np.cumsum(sizes))
+        seen = np.zeros(int(sizes.sum()), dtype=int)
+        for q, size in enumerate(sizes.tolist()):
+            cuts = np.unique(np.concatenate([[0, size], rng.integers(0, size, 5)]))
+            n, place = np.diff(cuts), cuts[:-1]
+            doc, start, length, window, offset = rounds.pieces(np.full(len(n), q), place, n)
+            assert (np.bincount(doc, weights=length, minlength=len(n)) == n).all()
+            assert ((offset >= 0) & (offset + length <= 4096)).all()
+            for w, o, k in zip(window.tolist(), offset.tolist(), length.tolist(), strict=True):
+                seen[w * 4096 + o : w * 4096 + o + k] += 1
+        assert (seen == 1).all()
 
 
 def test_mixing(docs, empty):
