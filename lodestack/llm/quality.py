@@ -3,8 +3,9 @@
 DataFrame functions only. Every text gets integer measures; measures of texts that pass the base rules are
 counted into log-linear buckets (five significant bits, so a quantile is off by at most 1/32). A sketch is
 the counts per bucket: sketches of (language, source) add up to those of a language and of the corpus. A
-group's fences lie ``SPREAD`` interquartile ranges outside its quartiles; a group with fewer than
-``LEAST`` texts borrows the sketch of its language, then that of the corpus.
+group's fences lie ``SPREAD`` interquartile ranges outside its quartiles. Quartiles of small groups are unsure, so
+they are blended: a group's with its language's, as if that were ``PRIOR`` more texts, the language's with the
+corpus's in the same way. The blend moves with the number of texts and knows no step.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 from lodestack.llm.common import WS_CHARS, pin, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
-SPREAD, LEAST = 6, 100
+SPREAD, PRIOR = 6, 100
 #: Fences of up to so many groups (some 200 bytes each) are sent to all tasks; more are joined by a shuffle.
 FENCES_SENT = 20_000
 #: Measure -> least interquartile range that counts. word_len: code points in 100 words; the rest: in 1000 words.
@@ -98,7 +99,7 @@ def sketch(measured: DataFrame) -> DataFrame:
 
 
 def fences(cells: DataFrame) -> DataFrame:
-    """Per (lang, source) of the sketch: lo_m and hi_m of every measure, from the finest sketch with LEAST texts."""
+    """Per (lang, source) of the sketch: lo_m and hi_m of every measure, from quartiles blended over the levels."""
     levels = []
     for level, keys in ((2, ["lang", "source"]), (1, ["lang"]), (0, [])):
         merged = cells.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
@@ -116,7 +117,11 @@ def fences(cells: DataFrame) -> DataFrame:
     fine = groups.alias("g").join(levels[0].alias("a"), F.expr("g.lang <=> a.lang and g.source <=> a.source"), "left").drop(F.col("a.lang"), F.col("a.source"))
     fine = fine.alias("g").join(levels[1].alias("b"), F.expr("g.lang <=> b.lang"), "left").drop(F.col("b.lang"))
     fine = fine.crossJoin(F.broadcast(levels[2]))  # one row
-    pick = lambda col: F.when(F.col("texts_2") >= LEAST, F.col(f"{col}_2")).when(F.col("texts_1") >= LEAST, F.col(f"{col}_1")).otherwise(F.col(f"{col}_0"))
+
+    def pick(col: str) -> Column:
+        lang = f"((texts_1 * {col}_1 + {PRIOR} * {col}_0) div (texts_1 + {PRIOR}))"
+        return F.expr(f"(texts_2 * {col}_2 + {PRIOR} * {lang}) div (texts_2 + {PRIOR})")
+
     out = []
     for m, least in MEASURES.items():
         q1, q3 = pick(f"q1_{m}"), pick(f"q3_{m}")
@@ -145,14 +150,14 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns. The texts are measured twice and never moved."""
+    """The rows of ``docs`` that the rules keep, all columns. Rows are written once beside their measures, for measuring costs far more."""
     names = docs.columns
     whole = docs.select("text", "lang", "source", F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
-    limits = pin(fences(pin(sketch(base_measures(whole, ["lang", "source"])))))
+    measured = pin(base_measures(whole, ["lang", "source", "_row"]))
+    limits = pin(fences(pin(sketch(measured))))
     if limits.count() <= FENCES_SENT:
         limits = F.broadcast(limits)
-    kept = judged(base_measures(whole, ["lang", "source", "_row"]), limits).where("_kept")
-    return kept.select("_row.*")
+    return judged(measured, limits).where("_kept").select("_row.*")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
@@ -173,7 +178,8 @@ def _oracle() -> str:
         ctes.append(f"q{level} as (select {keys}max(alln) as texts,{qs} from r{level} {'group by ' + keys.rstrip(',') if keys else ''})")
     picked = []
     for m, least in MEASURES.items():
-        q1, q3 = (f"case when q2.texts>={LEAST} then q2.q{k}_{m} when q1.texts>={LEAST} then q1.q{k}_{m} else q0.q{k}_{m} end" for k in (1, 3))
+        lang = {k: f"((q1.texts*q1.q{k}_{m} + {PRIOR}*q0.q{k}_{m}) // (q1.texts + {PRIOR}))" for k in (1, 3)}
+        q1, q3 = (f"((q2.texts*q2.q{k}_{m} + {PRIOR}*{lang[k]}) // (q2.texts + {PRIOR}))" for k in (1, 3))
         room = f"{SPREAD}*greatest(({q3})-({q1}),{least})"
         picked.append(f"({q3})+{room} as hi_{m}")
         picked.append((f"({q1})-{room}" if m in TWO_SIDED else "-1") + f" as lo_{m}")
