@@ -287,6 +287,24 @@ def test_mixing(docs, empty):
     assert Counter(r.doc_id for r in out.collect()) == +want
 
 
+def test_longer_documents_are_taken_more_often(spark):
+    rows = [(i, "w " * (20 if i % 2 else 200), "ab"[i % 4 > 1]) for i in range(2000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    per, taken, target = Counter(), Counter(), {}
+    for r in got:
+        per[r.source, r.size] += r.copies
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 100 for s, t in target.items())
+    assert all(per[s, 200] > 1.1 * per[s, 20] > 0 for s in target)
+
+
+def test_a_long_border_document_is_passed_over_once(spark):
+    rows = [(i, "w " * 10, "a") for i in range(300)] + [(1000, "w " * 900, "a"), (2000, "w " * 6000, "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert abs(sum(r.taken for r in got if r.source == "a") - next(r.target for r in got if r.source == "a")) <= 450
+
+
 def test_targets_reshare_what_caps_leave(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 1000), (None, 1000)]
     got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
