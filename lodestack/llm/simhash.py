@@ -33,8 +33,8 @@ SEGMENT_BITS = 32
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
 #: Keys of a text and MinHash values in a key: a pair of similarity 0.8 shares a key with probability 0.9999.
 BANDS, ROWS = 30, 6
-#: Members of a key that are joined in full from the second turn on; turns before all the rest is.
-SMALL, TURNS = 16, 5
+#: Members of a key that are joined in full from the second turn on; turns, the last of which joins all the rest.
+SMALL, TURNS = 16, 4
 _FACTORS = np.random.default_rng(20).integers(1 << 31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Odd factor that mixes the hashes of a shingle's words.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -188,47 +188,52 @@ def shingle_keys(text: str | None) -> list[int]:
     return [digest(raw[4 * ROWS * i : 4 * ROWS * (i + 1)], i) - (1 << 63) for i in range(BANDS)]
 
 
-def bucket_components(members: DataFrame, keys: DataFrame, verify) -> DataFrame:
-    """``members(node long, key long, band int)`` -> ``(node, comp)`` of the nodes linked by verified pairs that share a key.
+def bucket_components(members: DataFrame, verify, prefixes) -> DataFrame:
+    """``members(node long, key long)`` -> ``(node, comp)`` of the nodes linked by verified pairs that share a key.
 
-    ``keys(node, _keys)``: all keys of a node, by band. Turn 0 looks at the pairs of every key's members with one
-    centre of that key. Members that are then of one component are done. Of the keys that still hold several
-    components, those of SMALL members or fewer are joined in full; larger ones get another centre, and from the
-    next turn on are split by a further key that their members share, so that texts which agree in one common
-    passage part while near copies, which agree in many keys, meet again. What the last turn finds unsplit is
-    joined in full. No pair is dropped; a pair whose only meeting is in a large key is met if it shares as many
-    keys as there were splits, one more each.
+    Turn 0 looks at the pairs of every key's members with one centre of that key. Members that are then of one
+    component are done. Of the keys that still hold several components, those of SMALL members or fewer are joined
+    in full, larger ones get another centre. The nodes of large keys that stay mixed get keys of another kind,
+    ``prefixes(nodes)`` -> ``(node, key, pos, size)``: texts that agree in a common passage, or that just miss the similarity,
+    hardly ever share one, while similar ones always do. What the last turn finds mixed is joined in full.
+    Sets that share the key at ``pos`` of ``size`` and none before have no more in common than what follows in the
+    shorter rest; only pairs for which that is too little are left out.
     """
-    links, labels, at = None, None, members.withColumn("comp", F.col("node"))
+    links, labels, at = None, None, members.select("node", "key", F.lit(0).alias("pos"), F.lit(0).alias("size"), F.col("node").alias("comp"))
+    theirs = ["pos", "size", "comp"]
+    enough = F.least(F.col("size") - F.col("pos"), F.col("o_size") - F.col("o_pos")) * (1 + LEAST_SIMILARITY) >= (F.col("size") + F.col("o_size")) * LEAST_SIMILARITY - 1e-6
+    apart = (F.col("comp") != F.col("o_comp")) & enough
     for turn in range(TURNS):
-        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("c")
+        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *theirs)).alias("c")
         mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo <> hi")
-        mixed = pin(mixed.select("key", "n", F.col("c.node").alias("other"), F.col("c.comp").alias("ocomp")))
+        mixed = pin(mixed.select("key", "n", F.col("c.node").alias("other"), *(F.col(f"c.{c}").alias(f"o_{c}") for c in theirs)))
         if mixed.isEmpty():
             break
-        full = F.lit(turn > 0) & ((F.col("n") <= SMALL) | F.lit(turn == TURNS - 1))
-        met = at.join(mixed.where(~full), "key").where("comp <> ocomp").select(*_ends("node", "other"))
+        last = turn == TURNS - 1
+        full = F.lit(turn > 0) & ((F.col("n") <= SMALL) | F.lit(last))
+        met = at.join(mixed.where(~full), "key").where(apart).select(*_ends("node", "other"))
         if turn:
-            mine = at.join(mixed.where(full).select("key"), "key").select("key", "node", "comp")
-            theirs = mine.select("key", F.col("node").alias("other"), F.col("comp").alias("ocomp"))
-            met = met.unionByName(mine.join(theirs, "key").where("node < other and comp <> ocomp").select(*_ends("node", "other")))
+            mine = at.join(mixed.where(full).select("key"), "key").select("key", "node", *theirs)
+            others = mine.select("key", F.col("node").alias("other"), *(F.col(c).alias(f"o_{c}") for c in theirs))
+            met = met.unionByName(mine.join(others, "key").where(F.col("node") < F.col("other")).where(apart).select(*_ends("node", "other")))
         found = verify(pin(met.distinct()))
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)
-        if turn == TURNS - 1:
+        if last:
             break
-        rest = at.join(mixed.where((F.col("n") > SMALL) | F.lit(turn == 0)).select("key"), "key").drop("comp")
-        if turn:
-            rest = rest.join(keys, "node").select("node", "key", "band", F.posexplode("_keys").alias("more", "by")).where("more > band")
-            rest = rest.select("node", F.xxhash64("key", "by").alias("key"), F.col("more").alias("band"))
-        at = pin(rest.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    return labels if labels is not None else at.select("node", "comp").limit(0)
+        rest = at.join(mixed.where((F.col("n") > SMALL) | F.lit(turn == 0)).select("key"), "key").select("node", "key", "pos", "size")
+        if turn == TURNS - 3:
+            rest = prefixes(pin(rest.select("node").distinct()))
+        at = pin(rest.join(labels, "node", "left").select("node", "key", "pos", "size", F.coalesce("comp", "node").alias("comp")))
+    return labels if labels is not None else members.select("node", F.col("node").alias("comp")).limit(0)
 
 
 def _verifier(classes: DataFrame, docs: DataFrame):
-    """A function from ``links(a, b)`` to those whose texts have the similarity of near copies.
+    """Two functions over sets of shingle hashes, which the first call of ``verify`` fetches for all nodes that it is given.
 
-    The first call fetches the sets of shingle hashes of all nodes that it is given; later calls must not name others.
+    ``verify(links(a, b))``: the links whose texts have the similarity of near copies; later calls must not name
+    other nodes. ``prefixes(nodes)`` -> ``(node, key, pos, size)``: of every set the rarest shingles among these nodes, one more
+    than a set may miss of a similar one. Similar sets share one of them, whatever else they hold.
     """
     held: list[DataFrame] = []
 
@@ -236,6 +241,10 @@ def _verifier(classes: DataFrame, docs: DataFrame):
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([_shingle_hashes(t).tobytes() for t in texts])
 
+    @F.pandas_udf("array<long>")
+    def unpacked(sets: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, dtype=np.int64) for x in sets])
+
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
@@ -262,7 +271,15 @@ def _verifier(classes: DataFrame, docs: DataFrame):
         left, right = (held[0].select(F.col("node").alias(e), F.col("set").alias(f"set_{e}")) for e in "ab")
         return pin(links.join(left, "a").join(right, "b").where(similar("set_a", "set_b")).select("a", "b"))
 
-    return verify
+    def prefixes(nodes: DataFrame) -> DataFrame:
+        each = held[0].join(nodes, "node").select("node", F.explode(unpacked("set")).alias("key"))
+        counted = each.join(each.groupBy("key").agg(F.count("*").alias("f")), "key")
+        ranked = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("s"))
+        size = F.size("s")
+        missing = size - F.ceil(size * F.lit(LEAST_SIMILARITY) - F.lit(1e-9)).cast("int")
+        return ranked.select("node", size.alias("size"), F.posexplode(F.slice("s", F.lit(1), missing + 1)).alias("pos", "p")).where("p.f > 1").select("node", "p.key", "pos", "size")
+
+    return verify, prefixes
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
@@ -275,10 +292,10 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     rows = pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), keys(text_or_empty()).alias("_keys")))
     sample = F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("sample")
     classes = pin(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("_keys").alias("_keys"), sample))
-    every = classes.select("node", F.posexplode("_keys").alias("band", "key"))
+    every = classes.select("node", F.explode("_keys").alias("key"))
     crowded = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = pin(every.join(crowded, "key").select("node", "key", "band"))
-    comps = bucket_components(members, classes.select("node", "_keys"), _verifier(classes, docs))
+    members = pin(every.join(crowded, "key").select("node", "key"))
+    comps = bucket_components(members, *_verifier(classes, docs))
     named = comps.select(F.col("node").alias("text_hash"), "comp")
     return rows.select("doc_id", "text_hash").join(named, "text_hash", "left").select("doc_id", "text_hash", F.coalesce("comp", "text_hash").alias("comp"))
 
