@@ -67,7 +67,7 @@ class Corpus:
             where = where & (F.col(self.issuing_body_filter(issuing_body)["matched"]) == issuing_body)
         semantic = self.ranker is not None and mode in {"hybrid", "semantic"}
         pool = search.POOL if semantic else limit
-        keyword = search.ranked(search.keyword_search(self.docs, query, pool, where), ["score", "id"])
+        keyword = search.ranked(search.keyword_search(self.docs, query, pool, where, search.INDEXED, stemmed=True), ["score", "id"])
         if not semantic:
             order = keyword.select("id", "rank")
         else:
@@ -83,6 +83,11 @@ class Corpus:
         hits = hits.withColumn("snippet", F.when(F.col("_kw"), F.col("snippet")).otherwise(F.lit(SEMANTIC_ONLY))).drop("_kw")
         return self.envelope(hits.join(self.docs.drop("body"), "id").orderBy("rank"))
 
+    def exists(self, doc_id) -> dict | None:
+        """id, title and type of a document; None if there is none."""
+        row = self.docs.where(F.col("id") == doc_id).select(*(c for c in ("id", "title", "doc_type") if c in self.docs.columns)).first()
+        return row.asDict() if row else None
+
     def get(self, doc_id, part: str = "auto") -> dict:
         """One document or one part of it: full, a heading, ``chunk:N``; a large one gives its glance and headings."""
         row = self.docs.where(F.col("id") == doc_id).withColumns({"_h": tx.headings(F.col("body")), "_glance": tx.section(F.col("body"), "At a glance")}).first()
@@ -92,9 +97,10 @@ class Corpus:
         out = {k: v for k, v in row.asDict().items() if k not in {"body", "_h", "_glance"} and v not in (None, "")}
         body = row["body"] or ""
         if part.startswith("chunk:"):
-            pieces = chunks.cut(body)
+            mine = self.docs.where(F.col("id") == doc_id).select("id", F.lit("").alias("title"), "body")
+            pieces = {r.ordinal: r.text for r in chunks.chunked(chunks.units(mine)).select("ordinal", "text").collect()}
             n = int(part[6:]) if part[6:].isdigit() else -1
-            return out | {"text": pieces[n], "of": len(pieces)} if 0 <= n < len(pieces) else {"error": "no such chunk", "of": len(pieces)}
+            return out | {"text": pieces[n], "of": len(pieces)} if n in pieces else {"error": "no such chunk", "of": len(pieces)}
         if part == "auto" and len(body.encode()) > LARGE:
             return out | {"at_a_glance": row["_glance"], "headings": list(row["_h"])}
         if part in {"auto", "full"}:

@@ -5,21 +5,27 @@ Java's ``\\s`` and ``\\w`` are ASCII-only, so Unicode-aware patterns carry ``(?U
 
 from __future__ import annotations
 
-import html as _html
 import re
 from functools import reduce
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Quotation marks and dashes that normalisation unifies.
 CURLY = ("‘’“”", "''\"\"")
 QUOTES = "\"'‘’“”«»"
 DASHES = "‐‑‒–—―−"
-#: Named references that the native decoder knows; the ampersand comes last.
-ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&copy;": "©", "&middot;": "·"}
+#: Names of character references; those without a semicolon may be followed by anything.
+CLOSED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+OPEN = {k: v for k, v in html5.items() if not k.endswith(";")}
+_OPEN_NAME = "^(" + "|".join(sorted(OPEN, key=len, reverse=True)) + ")"
+#: What numbers 128 to 159 mean in web pages.
+WINDOWS = {i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)} | {0: "\ufffd", 13: "\r"}
+#: Patterns of citations, dates and volatile lines.
+CITATION = r"^(?:\d+\s+)?[A-Z]{2,6}\.?\s+\d[\w.\-]*$"
+DATE_LIKE = r"(?i)^(?:\d{4}-\d{2}-\d{2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z.]*\s+\d{1,2}?,?\s*\d{4})$"
+VOLATILE_LINE = r"(?im)^.*(generated|last updated|as of)\b.*$|\b\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}\S*)?\b"
 #: Texts shorter than this are hashed as raw bytes.
 HASH_LEAST = 200
 
@@ -43,34 +49,52 @@ def fold(c: Column) -> Column:
     return F.lower(ws_only(unified))
 
 
+def _looked_up(table: dict, key: Column) -> Column:
+    """Value of a constant table, which the planner folds to one literal."""
+    written = "\x01".join(f"{k}\x02{v}" for k, v in table.items())
+    return F.str_to_map(F.lit(written), F.lit("\x01"), F.lit("\x02"))[key]
+
+
+def _character(point: Column) -> Column:
+    """The character of a number in a reference: replaced if it can be none, empty if it stands for nothing."""
+    none = (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
+    empty = point.between(1, 8) | (point == 11) | point.between(14, 31) | (point == 127) | point.between(0xFDD0, 0xFDEF) | (point.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    return F.when(point.isNull() | none, "\ufffd").when(point.between(128, 159) | point.isin(0, 13), _looked_up(WINDOWS, point.cast("string"))).when(empty, "").otherwise(plain)
+
+
+def _reference(rest: Column) -> Column:
+    """What an ampersand and the text behind it are; common names first, for the tables are searched from the start."""
+    number = F.regexp_extract(rest, r"^#(\d+|[xX][0-9a-fA-F]+);?", 1)
+    digits = F.regexp_replace(F.regexp_replace(number, "^[xX]", ""), "^0+(?=.)", "")
+    long = F.length(digits) > 9
+    point = F.when(long, F.lit(0x110000).cast("long")).when(number.rlike("^[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.cast("long"))
+    name = F.regexp_extract(rest, "^([A-Za-z][A-Za-z0-9]*);", 1)
+    opened = F.regexp_extract(rest, _OPEN_NAME, 1)
+    after = lambda n: F.substring(rest, n, F.length(rest))
+    numeric = F.concat(_character(point), F.regexp_replace(rest, r"^#(\d+|[xX][0-9a-fA-F]+);?", ""))
+    closed = F.when(name == "amp", "&").when(name == "nbsp", "\xa0").when(name == "quot", '"').when(name == "lt", "<").when(name == "gt", ">").when(name != "", _looked_up(CLOSED, name))
+    named = F.when(closed.isNotNull(), F.concat(closed, after(F.length(name) + 2)))
+    legacy = F.when(opened != "", F.concat(_looked_up(OPEN, opened), after(F.length(opened) + 1)))
+    return F.when(number != "", numeric).otherwise(F.coalesce(named, legacy, F.concat(F.lit("&"), rest)))
+
+
 def unescape(c: Column) -> Column:
-    """Character references in common use, natively."""
-    named = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), c)
-    return F.regexp_replace(named, "&amp;?", "&")
+    """All character references of HTML, natively: the text is cut at ampersands and every part told what it begins with."""
+    parts = F.split(c, "&")
+    decoded = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), _reference)
+    return F.when(F.contains(c, F.lit("&")), F.concat(parts[0], F.array_join(decoded, ""))).otherwise(c)
 
 
 def drop_tags(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style).*?</\1>", " "), "<[^>]+>", " ")
 
 
-def html_to_text(c: Column, exact: bool = False) -> Column:
-    """Scripts, styles and tags out, references decoded, runs of spaces and tabs collapsed. ``exact`` decodes all references in Python."""
-    if exact:
-        return _html_text(c)
+def html_to_text(c: Column) -> Column:
+    """Scripts, styles and tags out, references decoded, runs of spaces and tabs collapsed."""
     return F.regexp_replace(unescape(drop_tags(c)), "[ \\t]+", " ")
 
 
-@F.pandas_udf(StringType())
-def _html_text(pages: pd.Series) -> pd.Series:
-    def text(p):
-        if p is None:
-            return None
-        p = re.sub(r"(?is)<(script|style).*?</\1>", " ", p)
-        return re.sub(r"[ \t]+", " ", _html.unescape(re.sub(r"<[^>]+>", " ", p)))
-
-    return pages.map(text)
-
-
 def strip_volatile(c: Column, patterns: list[str]) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, p, ""), patterns, c)
 
@@ -141,8 +165,36 @@ def is_legal_id(c: Column) -> Column:
     return c.rlike(r"^[a-z0-9][a-z0-9._-]+$")
 
 
+def is_registry_slug(c: Column) -> Column:
+    """Two words or more joined by hyphens; a single word may be a quotation."""
+    return c.rlike(r"^[a-z0-9]+(?:-[a-z0-9]+)+$")
+
+
 def is_date_like(c: Column) -> Column:
-    return c.rlike(r"^\d{4}(-\d{2}){0,2}$")
+    """A whole ISO date, or a month's name, a day and a year."""
+    return c.rlike(DATE_LIKE)
+
+
+def is_citation(c: Column) -> Column:
+    """An abbreviated authority and a number."""
+    return c.rlike(CITATION)
+
+
+def report_body(c: Column) -> Column:
+    """A generated report without dates and lines that tell when it was made, for comparing its content."""
+    return strip(F.regexp_replace(c, VOLATILE_LINE, ""))
+
+
+def escape_html(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    return F.format_string("%.1f%%", F.when(whole > 0, 100.0 * part / whole).otherwise(F.lit(0.0)))
+
+
+def kilobytes(n: Column) -> Column:
+    return F.format_string("%d KB", F.floor(n / 1024).cast("long"))
 
 
 def source_format(declared: Column, url: Column) -> Column:

@@ -13,7 +13,14 @@ from lodestack.functions import text as tx
 DOC_STATUS = ["current", "superseded", "repealed", "draft", "unknown"]
 CONTENT_MODES = ["verbatim", "mixed", "summary"]
 VERBATIM_TYPES = ["statute", "rule", "policy"]
-STRUCTURAL = ["schema_version", "id", "doc_type", "source_url", "source_format", "retrieved", "source_sha256", "status", "content_mode", "last_verified", "verified_by", "relationships", "tags", "joins"]
+#: Fields that are true of a document but not quoted from its source.
+STRUCTURAL = [
+    "schema_version", "corpus", "jurisdiction", "id", "doc_type", "source_url", "source_format", "source_sha256", "retrieved", "last_verified", "verified_by",
+    "maintainer", "content_mode", "snapshot_policy", "snapshot_id", "status", "authority_level", "issuing_body", "tags", "relationships", "conversion_notes",
+    "content_exception", "migration_pending", "last_reviewed", "citation", "title", "source_version", "effective_date", "expires",
+]
+#: The number part of a citation.
+CITED_NUMBER = r"^(?:\d+\s+)?[A-Z]{2,6}\.?\s+(\S+)$"
 
 Rule = tuple[str, str, Callable[[], Column]]
 
@@ -89,27 +96,59 @@ def token_multiset_difference(expected: DataFrame, actual: DataFrame) -> DataFra
 def grounded(assertions: DataFrame, sources: DataFrame) -> DataFrame:
     """``assertions(id, field, value)`` against ``sources(id, txt)``: adds found; null where there is no source text.
 
-    Values under three characters and structural fields are no assertions. A citation counts as found by its number part.
+    Values under three characters are no assertions. A citation also counts as found by its number part.
     """
-    usable = assertions.where((F.length(F.trim("value")) >= 3) & ~F.col("field").isin(STRUCTURAL))
+    usable = assertions.where(F.length(F.trim("value")) >= 3)
     joined = usable.join(sources.select("id", tx.fold(F.col("txt")).alias("_txt")), "id", "left")
-    number = F.regexp_extract("value", r"\d[\d.\-:()a-zA-Z]*$", 0)
-    found = F.contains(F.col("_txt"), tx.fold(F.col("value"))) | ((number != "") & F.contains(F.col("_txt"), F.lower(number)))
+    number = F.regexp_extract("value", CITED_NUMBER, 1)
+    found = F.contains(F.col("_txt"), tx.fold(F.col("value"))) | ((number != "") & F.contains(F.col("_txt"), tx.fold(number)))
     return joined.withColumn("found", found).drop("_txt")
 
 
 def grounding_rate(checked: DataFrame) -> DataFrame:
-    return checked.where("found is not null").groupBy("field").agg(F.count("*").alias("checked"), F.count_if("found").alias("grounded"))
+    """Per field, structural ones too: values checked and found; nothing found in a field that should be quoted is marked."""
+    rate = checked.where("found is not null").groupBy("field").agg(F.count("*").alias("checked"), F.count_if("found").alias("grounded"))
+    return rate.withColumn("nothing", (F.col("grounded") == 0) & ~F.col("field").isin(STRUCTURAL))
 
 
 def constant_and_absent(checked: DataFrame) -> DataFrame:
-    """Values on more than one document that no source has."""
-    each = checked.where(F.col("found").isNotNull() & ~tx.is_slug(F.col("value")))
+    """Values on more than one document that no source has; structural fields and registry slugs are no quotations."""
+    each = checked.where(F.col("found").isNotNull() & ~F.col("field").isin(STRUCTURAL) & ~tx.is_registry_slug(F.col("value")))
     g = each.groupBy("field", "value").agg(F.count_distinct("id").alias("docs"), F.count_if("found").alias("hits"))
     return g.where("docs > 1 and hits = 0").select("field", "value", "docs")
 
 
 def citation_misses(checked: DataFrame) -> DataFrame:
-    """Values shaped like citations that their source lacks."""
-    shaped = F.col("value").rlike(r"[A-Za-z].*\d") & ~tx.is_date_like(F.col("value"))
-    return checked.where(~F.col("found") & shaped).groupBy("field", "value").agg(F.count_distinct("id").alias("docs"))
+    """Citations that their source lacks."""
+    cited = tx.is_citation(F.col("value")) & ~tx.is_date_like(F.col("value")) & ~F.col("field").isin(STRUCTURAL)
+    return checked.where(~F.col("found") & cited).groupBy("field", "value").agg(F.count_distinct("id").alias("docs"))
+
+
+def quotes_found(quotes: DataFrame, texts: DataFrame, width: int = 3) -> DataFrame:
+    """``quotes(item_id, quote)`` -> (item_id, found): does any text of ``texts(txt)`` contain the folded quotation?
+
+    The second to the last but one word of a quotation are whole words of a text that holds it, so a text is compared
+    only with quotations whose words 2 to 4 it has in a row. Quotations of fewer than five words meet every text
+    with their second word, of fewer than three words every word that contains theirs.
+    """
+    folded = quotes.select("item_id", tx.fold(F.col("quote")).alias("q")).withColumn("w", F.split("q", " "))
+    texts = texts.select(F.monotonically_increasing_id().alias("row"), tx.fold(F.col("txt")).alias("t"))
+    run = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " "))
+
+    def runs(n: int) -> Column:
+        words = F.split("t", " ")
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: run(words, i, n)))
+
+    found = []
+    for n, some in ((width, F.size("w") >= width + 2), (1, F.size("w").between(3, width + 1))):
+        keyed = folded.where(some).select("item_id", "q", run(F.col("w"), F.lit(2), n).alias("key"))
+        wanted = keyed.select("key").distinct()
+        each = texts.select("t", F.explode(runs(n)).alias("key")).join(wanted, "key", "left_semi")
+        found.append(each.join(keyed, "key").where(F.contains(F.col("t"), F.col("q"))).select("item_id").distinct())
+    short = folded.where(F.size("w") < 3).select("item_id", "q")
+    vocabulary = texts.select(F.explode(F.split("t", " ")).alias("word")).distinct()
+    single = short.where(~F.contains(F.col("q"), F.lit(" "))).join(vocabulary, F.contains(F.col("word"), F.col("q"))).select("item_id")
+    double = short.where(F.contains(F.col("q"), F.lit(" "))).join(texts, F.contains(F.col("t"), F.col("q"))).select("item_id")
+    hits = found[0].unionByName(found[1]).unionByName(single).unionByName(double).distinct().withColumn("hit", F.lit(True))
+    return quotes.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("found"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -45,9 +46,9 @@ def best_chunks(vectors: DataFrame, query: list[float], want: int = 40) -> DataF
     return best.select("doc_id", (-F.col("b.o")).alias("ordinal"), F.col("b.score").alias("score")).orderBy(F.desc("score"), "doc_id").limit(want)
 
 
-def hash_embedding(text: str, dim: int = 256) -> list[float]:
+def hash_embedding(text: str, dim: int = 384) -> list[float]:
     """Character 3- to 5-grams, hashed, log-weighted, of unit length."""
-    t = " ".join((text or "").lower().split())
+    t = re.sub(r"\s+", " ", (text or "").lower())
     counts = Counter(t[i : i + n] for n in (3, 4, 5) for i in range(max(0, len(t) - n + 1)))
     v = np.zeros(dim)
     for gram, c in counts.items():
@@ -56,7 +57,7 @@ def hash_embedding(text: str, dim: int = 256) -> list[float]:
     return (v / norm if norm else v).tolist()
 
 
-def embed(chunks: DataFrame, dim: int = 256, encode=None) -> DataFrame:
+def embed(chunks: DataFrame, dim: int = 384, encode=None) -> DataFrame:
     """Adds ``vec`` to ``chunks(title, text)``. ``encode``: a function from a list of texts to vectors."""
 
     @F.pandas_udf("array<double>")

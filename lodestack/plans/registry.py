@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as tx
 from lodestack.operators import catalog, chunks, drift, graph, search, validation, vectors
+from lodestack.plans import structure
 
 SENTINELS = ["src15"]
 QUERY = "the reanst"
@@ -444,21 +445,18 @@ def _(s, d):
 # ---- data quality -------------------------------------------------------------------------------
 
 
-@query("relationship_orphans", "select l_partkey as dst, count(*) as n from lineitem where not exists (select 1 from part where p_partkey=l_partkey and p_partkey%10<>0) group by 1")
+@query("relationship_orphans", "select l_partkey::varchar as dst, count(*) as n from lineitem where not exists (select 1 from part where p_partkey=l_partkey and p_partkey%10<>0) group by 1")
 def _(s, d):
-    edges = table(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.lit("part").alias("rel"), F.col("l_partkey").alias("dst"))
-    universe = table(s, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("id"))
-    lost = edges.join(universe.select(F.col("id").alias("dst")), "dst", "left_anti")
-    return lost.groupBy("dst").agg(F.count("*").alias("n"))
+    edges = table(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.lit("part").alias("rel"), F.col("l_partkey").cast("string").alias("dst"))
+    universe = table(s, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").cast("string").alias("id"))
+    return validation.orphan_relationships(edges, universe).groupBy("dst").agg(F.count("*").alias("n"))
 
 
-@query("join_orphans", "select l_orderkey as id, l_linenumber-1 as i, l_suppkey as dst from lineitem where l_suppkey%10=0")
+@query("join_orphans", "select l_orderkey as id, place-1 as i, l_suppkey as dst from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey) as place from lineitem) where l_suppkey%10=0")
 def _(s, d):
     joins = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_suppkey").alias("document_id"))))
     rows = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(joins.alias("joins"))
-    universe = table(s, d, "supplier").where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").alias("id"))
-    out = rows.select("id", F.explode("joins").alias("j")).select("id", (F.col("j.l_linenumber") - 1).alias("i"), F.col("j.document_id").alias("dst"))
-    return out.join(universe.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return validation.orphan_joins(rows, table(s, d, "supplier").where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").alias("id")))
 
 
 @query("unregistered_slugs", f"select id, issuing_body_slug as declared_slug from {_DOCS} where issuing_body_slug<>'src15' and issuing_body_slug not in (select slug from {_REGISTRY})")
@@ -493,14 +491,12 @@ def _(s, d):
     return t.select("doc_id", tx.ordered_containment(lines, F.col("text")).alias("first_missing"))
 
 
-@query("quote_containment", f"select item_id, count(doc_id) > 0 as found from benchmark b left join documents d on contains({_FOLD.format('d.text')}, {_FOLD.format('b.text')}) group by 1")
+_SQL_FOLD = "lower(trim(regexp_replace(translate(translate({0}, '‐‑‒–—―−', '-------'), '\"''‘’“”«»', ''), '\\s+', ' ', 'g')))"
+
+
+@query("quote_containment", f"select item_id, count(doc_id) > 0 as found from benchmark b left join documents d on contains({_SQL_FOLD.format('d.text')}, {_SQL_FOLD.format('b.text')}) group by 1")
 def _(s, d):
-    # The quotations are a fixed, bounded list; one aggregate per document batch and no pairs are kept.
-    quotes = table(s, d, "benchmark").select("item_id", F.lower(tx.ws_only(F.col("text"))).alias("q"))
-    listed = quotes.agg(F.collect_list(F.struct("item_id", "q")).alias("qs"))
-    text = F.lower(tx.ws_only(F.col("text")))
-    hits = table(s, d, "documents").select(text.alias("t")).crossJoin(F.broadcast(listed)).select(F.explode(F.filter("qs", lambda x: F.contains(F.col("t"), x["q"]))["item_id"]).alias("item_id")).distinct()
-    return quotes.join(hits.withColumn("hit", F.lit(True)), "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("found"))
+    return validation.quotes_found(table(s, d, "benchmark").select("item_id", F.col("text").alias("quote")), table(s, d, "documents").select(F.col("text").alias("txt")))
 
 
 @query("coverage_ratio", r"select doc_id, round(length(trim(regexp_replace(left(text, (length(text)*3//4)::bigint), '\s+', ' ', 'g'))) / greatest(1, length(trim(regexp_replace(text, '\s+', ' ', 'g')))), 6) as ratio from documents")
@@ -523,35 +519,41 @@ def _(s, d):
     return validation.token_multiset_difference(side(title), side(F.concat(h1, F.lit(" end"))))
 
 
-_ASSERTED = """(select doc_id as id, field, value, contains(lower(trim(regexp_replace(text,'\\s+',' ','g'))), lower(value)) as found from
- (select doc_id, text, 'opening' as field, 'absent' || (doc_id%3) as value from documents where doc_id%2=0 union all select doc_id, text, 'language', 'the of' from documents union all select doc_id, text, 'mark', 'Rule x' || (doc_id%4) from documents where doc_id%3=0))"""
+#: Field -> (SQL of its value, SQL of the documents that assert it); both engines understand it.
+_CLAIMS = {
+    "opening": ("case when doc_id % 3 = 0 then 'nowhere' else split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) end", "doc_id % 2 = 0"),
+    "language": ("'the of'", "true"),
+    "authority": ("case when doc_id % 5 = 0 then 'ORS ' || (100000 + doc_id % 4) else 'ORS ' || (doc_id % 10) end", "doc_id % 3 = 0"),
+    "agency": ("'some-agency-' || (doc_id % 3)", "true"),
+    "title": ("'title never quoted'", "true"),
+    "expired": ("'January 1, 2001'", "doc_id % 4 = 0"),
+}
+_CLAIMED = " union all ".join(f"select doc_id as id, text, '{f}' as field, {v} as value from documents where {w}" for f, (v, w) in _CLAIMS.items())
+_NUMBER = r"regexp_extract(value, '^(?:\d+\s+)?[A-Z]{2,6}\.?\s+(\S+)$', 1)"
+_ASSERTED = f"""(select id, field, value, contains({_SQL_FOLD.format('text')}, {_SQL_FOLD.format('value')}) or ({_NUMBER} <> '' and contains({_SQL_FOLD.format('text')}, lower({_NUMBER}))) as found
+ from ({_CLAIMED}) where length(trim(value)) >= 3 and text is not null)"""
+_FREE = "field not in ('title')"
 
 
 def asserted(s, d):
     t = table(s, d, "documents")
-    parts = [("opening", F.concat(F.lit("absent"), F.col("doc_id") % 3), F.col("doc_id") % 2 == 0), ("language", F.lit("the of"), F.lit(True)), ("mark", F.concat(F.lit("Rule x"), F.col("doc_id") % 4), F.col("doc_id") % 3 == 0)]
-    rows = F.array_compact(F.array(*(F.when(keep, F.struct(F.lit(f).alias("field"), v.alias("value"))) for f, v, keep in parts)))
-    return t.select(F.col("doc_id").alias("id"), F.explode(rows).alias("a")).select("id", "a.field", "a.value"), t.select(F.col("doc_id").alias("id"), F.col("text").alias("txt"))
+    rows = F.array_compact(F.array(*(F.when(F.expr(w), F.struct(F.lit(f).alias("field"), F.expr(v).alias("value"))) for f, (v, w) in _CLAIMS.items())))
+    return validation.grounded(t.select(F.col("doc_id").alias("id"), F.explode(rows).alias("a")).select("id", "a.field", "a.value"), t.select(F.col("doc_id").alias("id"), F.col("text").alias("txt")))
 
 
-@query("grounding_rate", f"select field, count(*) as checked, count(*) filter (found) as grounded from {_ASSERTED} where field='language' group by 1")
+@query("grounding_rate", f"select field, count(*) as checked, count(*) filter (found) as grounded, count(*) filter (found) = 0 and {_FREE} as nothing from {_ASSERTED} group by 1")
 def _(s, d):
-    a, src = asserted(s, d)
-    return validation.grounding_rate(validation.grounded(a.where("field = 'language'"), src))
+    return validation.grounding_rate(asserted(s, d))
 
 
-@query("constant_absent", "select 'opening' as field, 'absent' || k as value, count(*) as docs from (select doc_id%3 as k from documents where doc_id%2=0 and not contains(lower(text),'absent')) group by k having false union all select 'extra' as field, 'nowhere to see' as value, count(*) as docs from documents")
+@query("constant_absent", f"select field, value, count(distinct id) as docs from {_ASSERTED} where {_FREE} and not regexp_matches(value, '^[a-z0-9]+(-[a-z0-9]+)+$') group by 1, 2 having count(distinct id) > 1 and count(*) filter (found) = 0")
 def _(s, d):
-    t = table(s, d, "documents")
-    a = t.select(F.col("doc_id").alias("id"), F.lit("extra").alias("field"), F.lit("nowhere to see").alias("value"))
-    return validation.constant_and_absent(validation.grounded(a, t.select(F.col("doc_id").alias("id"), F.col("text").alias("txt"))))
+    return validation.constant_and_absent(asserted(s, d))
 
 
-@query("citation_misses", "select 'mark' as field, 'Rule zqx' || (1000+doc_id%4) as value, count(*) as docs from documents where not contains(lower(text), 'zqx') and not contains(text, (1000+doc_id%4)::varchar) group by 2")
+@query("citation_misses", f"select field, value, count(distinct id) as docs from {_ASSERTED} where not found and value like 'ORS %' group by 1, 2")
 def _(s, d):
-    t = table(s, d, "documents")
-    a = t.select(F.col("doc_id").alias("id"), F.lit("mark").alias("field"), F.concat(F.lit("Rule zqx"), 1000 + F.col("doc_id") % 4).alias("value"))
-    return validation.citation_misses(validation.grounded(a, t.select(F.col("doc_id").alias("id"), F.col("text").alias("txt"))))
+    return validation.citation_misses(asserted(s, d))
 
 
 @query("changed_documents", "select 'added' as change, count(*) as n from documents where doc_id%9=0 union all select 'removed', count(*) from documents where doc_id%9=1 union all select 'changed', count(*) from documents where doc_id%9=2")
@@ -572,5 +574,5 @@ def _(s, d):
     return run_once(s, page_manifest(s, d), page_observations(s, d))
 
 
-QUERIES = dict(_QUERIES)
-ORACLE_SQL = dict(_SQL)
+QUERIES = _QUERIES | structure.QUERIES
+ORACLE_SQL = _SQL | structure.ORACLE_SQL

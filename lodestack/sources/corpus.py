@@ -6,8 +6,10 @@ except for a configured file that is missing, which raises.
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
+import urllib.robotparser
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -17,8 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CACHE_SECONDS = 86_400
-#: Agents that train models or answer from them; fixed values.
-AI_AGENTS = ("gptbot", "claudebot", "ccbot", "google-extended", "bytespider", "perplexitybot")
+#: Agents whose mention is a position on crawling for models.
+AI_AGENTS = (
+    "ClaudeBot", "Claude-Web", "anthropic-ai", "GPTBot", "ChatGPT-User", "OAI-SearchBot", "CCBot", "Google-Extended", "PerplexityBot",
+    "Applebot-Extended", "Bytespider", "meta-externalagent", "Amazonbot", "Diffbot", "cohere-ai", "AI2Bot", "Timpibot",
+)
 
 
 def _plain(value):
@@ -172,37 +177,44 @@ def read_sibling_index(spark: SparkSession, name: str, path: str, now: float | N
     return spark.createDataFrame(rows, schema), "fresh" if age < CACHE_SECONDS else "stale"
 
 
-def parse_robots(text: str | None) -> dict:
-    """Agents blocked altogether, the named AI agents among them, crawl delay and content signal of a robots text."""
+def parse_robots(text: str | None, agent: str = "lodestack", path: str = "/") -> dict:
+    """What a robots text says: may ``agent`` fetch ``path``, which AI agents are refused any path, the content signal, the crawl delay.
+
+    Two questions that stay apart: permission for us, and a stated position on this kind of use. Nothing is
+    known of a text that could not be read.
+    """
     if text is None:
-        return {"reachable": None, "blocked": [], "ai_blocked": None, "crawl_delay": None, "content_signal": None}
-    agents: list[str] = []
-    fresh, blocked, delay, signal = True, set(), None, None
-    for line in text.splitlines():
-        line = line.split("#", 1)[0].strip()
-        name, _, value = (x.strip() for x in line.partition(":"))
-        name = name.lower()
-        if name == "user-agent":
-            agents = [value.lower()] if not fresh else [*agents, value.lower()]
-            fresh = True
-            continue
-        if not name:
-            continue
-        fresh = False
-        if name == "disallow" and value == "/":
-            blocked.update(agents)
-        elif name == "crawl-delay":
-            delay = value
-        elif name == "content-signal":
-            signal = value
-    return {"reachable": True, "blocked": sorted(blocked), "ai_blocked": sorted(a for a in AI_AGENTS if a in blocked or "*" in blocked), "crawl_delay": delay, "content_signal": signal}
-
-
-def robots(hosts: DataFrame) -> DataFrame:
+        return {"reachable": None, "allowed": None, "ai_blocked": None, "states_position": None, "crawl_delay": None, "content_signal": None}
+    bare = (line.partition("#")[0] for line in text.splitlines())
+    pairs = [(k.strip().lower(), v.strip()) for k, colon, v in (line.partition(":") for line in bare) if colon and k.strip()]
+    # Runs of agent lines and runs of rules take turns; other keys belong to no group.
+    grammar = [p for p in pairs if p[0] in ("user-agent", "disallow", "allow", "crawl-delay")]
+    runs = [(named, [p for p in run]) for named, run in itertools.groupby(grammar, key=lambda p: p[0] == "user-agent")]
+    refused: set[str] = set()
+    for (named, heads), (_, rules) in itertools.pairwise(runs):
+        if named and any(k == "disallow" and v for k, v in rules):
+            refused.update(v.lower() for _, v in heads)
+    told = {k: v for k, v in reversed(pairs)}
+    blocked = [a for a in AI_AGENTS if a.lower() in refused]
+    parser = urllib.robotparser.RobotFileParser()
+    parser.parse(text.splitlines())
+    signal = told.get("content-signal")
+    return {"reachable": True, "allowed": parser.can_fetch(agent, path), "ai_blocked": blocked, "states_position": bool(blocked or signal), "crawl_delay": told.get("crawl-delay"), "content_signal": signal}
+
+
+def robots(hosts: DataFrame, agent: str = "lodestack") -> DataFrame:
     """``hosts(host, robots)``: adds the parsed record; a null text was not reachable, so nothing is known."""
 
-    @F.pandas_udf("reachable boolean, blocked array<string>, ai_blocked array<string>, crawl_delay string, content_signal string")
+    @F.pandas_udf("reachable boolean, allowed boolean, ai_blocked array<string>, states_position boolean, crawl_delay string, content_signal string")
     def parse(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_robots(t) for t in texts])
+        return pd.DataFrame([parse_robots(t, agent) for t in texts])
 
     return hosts.withColumn("r", parse("robots")).select("host", "r.*")
+
+
+def robots_report(sources: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Per host of ``sources(id, url)``: number of sources and what its robots text says; hosts never asked are unknown. Reports, never blocks."""
+    per_host = sources.groupBy(F.try_parse_url(F.col("url"), F.lit("HOST")).alias("host")).agg(F.count("*").alias("sources"), F.min("id").alias("first_id"))
+    joined = per_host.join(robots(hosts), "host", "left")
+    stance = F.when(F.col("reachable").isNull(), "unknown").when(~F.col("allowed"), "refused").when(F.col("states_position"), "position stated").otherwise("allowed")
+    return joined.withColumn("stance", stance)
