@@ -136,9 +136,12 @@ def quotes_found(quotes: DataFrame, texts: DataFrame, width: int = 3) -> DataFra
     run = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " "))
 
     def runs(n: int) -> Column:
-        words = F.split("t", " ")
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: run(words, i, n)))
+        def of(words: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+            return F.array_distinct(F.transform(starts, lambda i: run(words, i, n)))
+
+        # Bound to a variable, the words are split once and not for every run.
+        return F.element_at(F.transform(F.array(F.split("t", " ")), of), 1)
 
     found = []
     for n, some in ((width, F.size("w") >= width + 2), (1, F.size("w").between(3, width + 1))):

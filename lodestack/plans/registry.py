@@ -7,12 +7,16 @@ benchmark the quotations, labels a partial registry, the star schema a graph.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as tx
 from lodestack.operators import catalog, chunks, drift, graph, search, validation, vectors
 from lodestack.plans import structure
+from lodestack.plans.pinning import shared_folder
+from lodestack.sources import sinks
 
 SENTINELS = ["src15"]
 QUERY = "the reanst"
@@ -139,7 +143,7 @@ def _(s, d):
     return catalog.compact_index(docs(s, d).select("id", F.substring("body", 1, 20).alias("title"), "doc_type", F.concat_ws("/", "issuing_body_slug", "id").alias("path"), F.col("content_mode").alias("status")))
 
 
-@query("fingerprint", f"select doc_type, sha256(string_agg(id || ':' || sha256(body), chr(10) order by id)) as fingerprint, count(*) as n from {_DOCS} group by 1")
+@query("fingerprint", f"select doc_type, sum(('0x' || substr(sha256(id || ':' || sha256(coalesce(body, ''))), 1, 15))::bigint::hugeint)::varchar as fingerprint, count(*) as n from {_DOCS} group by 1")
 def _(s, d):
     return catalog.fingerprint(docs(s, d))
 
@@ -190,9 +194,17 @@ def _(s, d):
     return search.term_stats(docs(s, d))
 
 
-@query("postings", f"select term, id, list(p order by p) as positions, count(*) as tf from (select id, unnest(t) as term, unnest(range(0,len(t)))::int as p from {_TOKENS}) where term in ('reanst','the') group by 1,2")
+@query("postings", f"select term, id, list(p order by p) as positions, count(*) as tf from (select id, unnest(t) as term, unnest(range(0,len(t)))::int as p from {_TOKENS}) group by 1,2")
+def _(s, d):
+    return search.postings(docs(s, d))
+
+
+@query("index_search_topk", _bm25([_tf("the"), _tf("reanst")]))
 def _(s, d):
-    return search.postings(docs(s, d), ["reanst", "the"])
+    """Top hits from a stored index that this call writes."""
+    root = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    sinks.write_index(docs(s, d), root, "now", ("body",), False)
+    return sinks.search_index(sinks.open_index(s, root), QUERY, stemmed=False).select("id", F.round("score", 6).alias("score"))
 
 
 @query("excerpt_window", f"""with e as (select id, unnest(t) as tok, unnest(range(0,len(t)))::int as pos from {_TOKENS}),
@@ -506,17 +518,20 @@ def _(s, d):
 
 
 _PAGE_TOKENS = r"(select page_id as id, unnest(regexp_extract_all({0}, '[0-9A-Za-z][0-9A-Za-z._/§\-]*')) as token from pages)"
-_TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
-_H1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
+
+
+_PAGE_TEXT = _TEXT.format("html")
+_PAGE_OTHER = f"(replace({_PAGE_TEXT}, 'the', '') || ' end')"
 
 
 @query("token_multiset_diff", f"""select id, token, greatest(d,0)::bigint as missing, greatest(-d,0)::bigint as extra from (select coalesce(a.id,b.id) as id, coalesce(a.token,b.token) as token, coalesce(a.n,0)-coalesce(b.n,0) as d from
- (select id, token, count(*) as n from {_PAGE_TOKENS.format(_TITLE)} group by 1,2) a full join (select id, token, count(*) as n from {_PAGE_TOKENS.format(f"concat({_H1}, ' end')")} group by 1,2) b on a.id=b.id and a.token=b.token) where d<>0""")
+ (select id, token, count(*) as n from {_PAGE_TOKENS.format(_PAGE_TEXT)} group by 1,2) a full join (select id, token, count(*) as n from {_PAGE_TOKENS.format(_PAGE_OTHER)} group by 1,2) b on a.id=b.id and a.token=b.token) where d<>0""")
 def _(s, d):
+    """Whole page texts against the same with a word taken out."""
     p = table(s, d, "pages")
-    title, h1 = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)
     side = lambda c: p.select(F.col("page_id").alias("id"), F.explode(tx.extraction_tokens(c)).alias("token"))
-    return validation.token_multiset_difference(side(title), side(F.concat(h1, F.lit(" end"))))
+    text = tx.html_to_text(F.col("html"))
+    return validation.token_multiset_difference(side(text), side(F.concat(F.replace(text, F.lit("the"), F.lit("")), F.lit(" end"))))
 
 
 #: Field -> (SQL of its value, SQL of the documents that assert it); both engines understand it.

@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from lodestack.operators import catalog, drift, search
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 
-def write_index(docs: DataFrame, root: str, state: str) -> str:
-    """Writes docs, postings and doc_len under a new version and then points ``current`` at it; readers never see half an index."""
+def write_index(docs: DataFrame, root: str, state: str, fields: tuple[str, ...] = search.INDEXED, stemmed: bool = True) -> str:
+    """Writes docs, postings and doc_len under a new version and then points ``current`` at it; readers never see half an index.
+
+    Postings lie in order of term and id; a common term spreads over many files.
+    """
     version = uuid.uuid4().hex
     base = f"{root}/{version}"
     docs.write.parquet(f"{base}/docs")
     stored = docs.sparkSession.read.parquet(f"{base}/docs")
-    search.postings(stored).repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{base}/postings")
-    search.doc_lengths(stored).write.parquet(f"{base}/doc_len")
+    search.postings(stored, None, fields, stemmed).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{base}/postings")
+    search.doc_lengths(stored, fields).write.parquet(f"{base}/doc_len")
     meta = docs.sparkSession.createDataFrame([(version, SCHEMA_VERSION, state)], "version string, schema int, state string")
     meta.coalesce(1).write.mode("overwrite").json(f"{root}/current")
     return version
@@ -47,9 +50,9 @@ def _back(places: int):
     return lambda x: x - places
 
 
-def search_index(index: dict[str, DataFrame], query: str, limit: int = 10, where=None) -> DataFrame:
-    """BM25 from stored postings: only the query's terms are read (pushed to the files)."""
-    wanted = search.phrases(query)
+def search_index(index: dict[str, DataFrame], query: str, limit: int = 10, where=None, stemmed: bool = True) -> DataFrame:
+    """BM25 from stored postings: only the query's terms are read (pushed to the files). ``stemmed`` as the index was written."""
+    wanted = search.phrases(query, stemmed)
     docs = index["docs"]
     if not wanted:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)

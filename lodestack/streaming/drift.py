@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators import drift
+from lodestack.plans.pinning import shared_folder
 
 OBSERVED = "grp string, id long, status string, new_sha256 string"
 
 
 def _base(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or tempfile.mkdtemp(prefix='lodestack-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_drift(spark: SparkSession, incoming: str, manifest: DataFrame, out: str, checkpoint: str):
