@@ -169,6 +169,60 @@ def test_lm(docs, empty):
     assert ngram.lm_scores(empty).count() == 0
 
 
+class BackoffModel:
+    """Discounted counts with backoff over words, looked up history by history; no automaton."""
+
+    def __init__(self, texts):
+        self.one, self.two, self.three = Counter(), Counter(), Counter()
+        for t in texts:
+            seq = ["", *t, ""]
+            self.one.update(seq[1:])
+            self.two.update(zip(seq, seq[1:], strict=False))
+            self.three.update(k for k in zip(seq, seq[1:], seq[2:], strict=False) if k[1] != "")
+        self.n, self.k = sum(self.one.values()), len(self.one) + 1 + ("" not in self.one)
+        self.two = {k: c for k, c in self.two.items() if c >= 2}
+        self.three = {k: c for k, c in self.three.items() if c >= 2 and k[:2] in self.two}
+
+    def p1(self, w):
+        return (self.one[w] + 1) / (self.n + self.k)
+
+    def back(self, history, w, table, lower, count):
+        arcs = {k[-1]: c for k, c in table.items() if k[:-1] == history}
+        if not arcs:
+            return lower(w)
+        total = max(count, sum(arcs.values()))
+        if w in arcs:
+            return (arcs[w] - 0.75) / total
+        return lower(w) * (1 - sum((c - 0.75) / total for c in arcs.values())) / (1 - sum(lower(x) for x in arcs))
+
+    def p2(self, a, w):
+        return self.back((a,), w, self.two, self.p1, self.one[a])
+
+    def score(self, t):
+        total, seq = 0.0, ["", *t, ""]
+        for i in range(1, len(seq)):
+            w, b = seq[i], seq[i - 1]
+            a = seq[i - 2] if i > 1 else None
+            total += np.log10(self.back((a, b), w, self.three, lambda x, b=b: self.p2(b, x), self.two.get((a, b), 0)))
+        return total
+
+
+def test_scores_equal_a_backoff_model_without_automaton(spark):
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = [[words[min(int(r.expovariate(0.15)), 29)] for _ in range(r.randint(0, 60))] for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    model = BackoffModel(train)
+    got = {x.doc_id: x.score for x in ngram.lm_scores(docs).collect()}
+    known = {w for t in train for w in t}
+    for i, t in enumerate(texts):
+        if set(t) <= known:
+            assert got[i] == pytest.approx(model.score(t), abs=1e-6), i
+
+
 def test_automaton_is_a_distribution_and_lanes_do_not_matter(monkeypatch):
     rng = np.random.default_rng(1)
     seq = rng.integers(0, 7, 4000)

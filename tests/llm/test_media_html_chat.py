@@ -163,6 +163,53 @@ def test_pipeline_stages(spark, docs):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
 
 
+def test_pipeline_run_equals_its_stages_by_hand(spark, tmp_path):
+    """run() on a small table; near copies by all pairs, rules and languages row by row, tokens by the tokenizer."""
+    import random
+    from collections import Counter
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodestack.llm import langid, mixing, quality
+
+    r = random.Random(8)
+    de = "der alte fluss trägt kleine boote unter steinernen brücken zu den fernen städten und jeden morgen kommt salz".split()
+    en = "the river bends under old stone bridges while small boats carry salt and grain toward distant harbour towns".split()
+    texts = [" ".join(r.choices(de if i % 4 == 0 else en, k=r.randint(30, 120))) for i in range(40)]
+    copies = [(" ".join([*t.split()[:-2], "other", "end"])) for t in texts[:10]] + texts[10:15] + ["was " * 60, "", "12 34"]
+    rows = [(i, t, "de" if i % 40 % 4 == 0 else "en", "ab"[i % 3 == 0], len(t)) for i, t in enumerate(texts + copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    good = {x.doc_id for x in quality.quality_rules(docs).where("kept").collect()}
+    kept = docs.where(docs.doc_id.isin(list(good)))
+    classify = langid.Classifier(langid.train(kept.select("lang", "text")))
+    told = {i: t for i, t, *_ in rows if i in good and classify(t)[0] != "und" and classify(t)[1] >= langid.LEAST_MARGIN}
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+
+    root = {i: i for i in told}
+    for i in told:
+        for j in told:
+            a, b = shingles(told[i]), shingles(told[j])
+            if i < j and len(a & b) >= 0.8 * len(a | b):
+                x, y = root[i], root[j]
+                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    single = docs.where(docs.doc_id.isin(sorted(set(root.values()))))
+    times = Counter({x.doc_id: x.copies for x in mixing.mix(single).collect()})
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter({i: n * (1 + len(tokenizer.encode(told[i], add_special_tokens=False).ids)) for i, n in times.items() if n})
+    packed = Counter()
+    for x in got:
+        packed[x.doc_id] += x.length
+    assert packed == want and len(set(root.values())) < len(told) < len(rows)
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
