@@ -260,7 +260,16 @@ def _(s, d):
     return search.excerpts(hits, docs(s, d), QUERY).select("rank", "id", F.round("score", 6).alias("score"), "snippet")
 
 
-@query("chunk_documents")
+_STRIPPED_TEXT = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_CUT = """select doc_id, t, head, step, ended, w, case when ended then length(w) when p > 0 and length(w) - p - 1 >= 1600 then length(w) - p when q > 0 and length(w) - q - 1 >= 1600 then length(w) - q else length(w) end as take
+  from (select *, length(t) - head <= 3200 as ended, substr(t, head + 1, 3200) as w, strpos(reverse(substr(t, head + 1, 3200)), chr(10) || chr(10)) as p, strpos(reverse(substr(t, head + 1, 3200)), ' .') as q from r)"""
+_CHUNKS = f"""(with recursive t as (select doc_id, {_STRIPPED_TEXT.format('text')} as t from documents where text is not null),
+ r as (select doc_id, t, 0 as head, 0 as step from t where t <> '' union all select doc_id, t, greatest(head + take - 200, head + 1), step + 1 from ({_CUT}) where not ended),
+ w as ({_CUT})
+ select doc_id, step, {_STRIPPED_TEXT.format('left(w, take)')} as text from w)"""
+
+
+@query("chunk_documents", f"select doc_id, row_number() over (partition by doc_id order by step) - 1 as ordinal, 'Body' as heading, length(text) as chars, left(text, 160) as preview from {_CHUNKS} where text <> ''")
 def _(s, d):
     units = chunks.units(docs(s, d).select("id", F.lit("").alias("title"), "body"))
     return chunks.chunked(units).select("doc_id", "ordinal", "heading", F.length("text").alias("chars"), "preview")
@@ -582,7 +591,7 @@ def _(s, d):
     return changed_since(now, then).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query("stream_drift")
+@query("stream_drift", f"select * from {_DRIFT}")
 def _(s, d):
     from lodestack.streaming.drift import run_once
 
