@@ -1,36 +1,39 @@
 """Language-model scores by a weighted backoff automaton.
 
-Every training token is counted; the table of counts stays distributed. Words of relative frequency CORE
-or more are symbols of their own, all others share one symbol whose words are told apart by their counts.
-Over these symbols, discounted 1- to 3-grams form an automaton: a state is a history, an arc carries a
-log-probability and leads to the longest history that is a state, a failure arc carries the backoff weight
-to the next shorter history. A text is read once from left to right: the state is carried, log-probabilities
-are summed.
-
-Thresholds are relative frequencies, so they act alike at every size and bound what the driver and the
-workers hold: at most 1/FREQUENT words and 1/KEEP arcs of an order, however large the corpus.
+All 1- to 3-grams of the training texts are counted, none is left out. An n-gram is known by a 63-bit hash of its
+words. A history h of count c(h) gives p(w|h) = (c(hw) + PRIOR p(w|h')) / (c(h) + PRIOR), h' being h without its
+first word; single words have (c + 1) / (N + V + 1), where all words not trained on are one. As an automaton: a
+state is a history, an arc carries the log-probability of an n-gram and leads to the longest history that is a state, a
+failure arc carries log PRIOR / (c(h) + PRIOR) and leads to the next shorter history. A text is read once from left
+to right: the state is carried, log-probabilities are summed.
+
+The counts grow with the corpus, so nobody holds them all. Texts are cut into blocks of at most BLOCK tokens (a longer
+text is a block of its own). Every block asks for the n-grams that it holds and says how often it trains on each;
+shards of the range of hashes add up what all blocks say and answer with the whole counts; the block then
+builds the part of the automaton that its texts can reach. Only sums come to the driver, nothing is broadcast.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import lower_ascii, pin, text_or_empty
+from lodestack.llm.common import lower_ascii, pin, shared_dir, text_or_empty
 
-#: Relative frequencies: words looked up in workers, words with symbols of their own, words of trigram histories.
-FREQUENT, CORE, INNER = 1e-6, 1e-5, 1e-4
-#: Least relative frequency of an arc; absolute discount.
-KEEP, DISCOUNT = 1e-6, 0.75
-END, RARE = 0, 1
+#: Weight of the shorter history's distribution, in tokens.
+PRIOR = 4.0
+#: Tokens of a block, and n-grams that a shard holds on average.
+BLOCK, SHARD = 2_000_000, 2_000_000
+END = 0
 #: Key of the end token in tables; no word holds a space.
 END_KEY = b" "
 #: Tokens that a lane reads; a longer text is read in several lanes, each started two tokens early.
 LANE = 512
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def split_words(raw: bytes | None) -> list[bytes]:
@@ -41,163 +44,166 @@ def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def _chunks(column, rows: int = 2048, size: int = 3 << 20):
-    from lodestack.llm.tokens import slices
+def _packed(values: np.ndarray) -> bytes:
+    """Integers by byte planes, compressed."""
+    import zstandard
 
-    yield from slices(column, rows, size)
+    raw = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=1).compress(raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes())
 
 
-def token_counts(training: DataFrame) -> DataFrame:
-    """(token binary, c long) over all tokens of ``training(text binary)``, the end of every text included."""
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+BLOCK_SCHEMA = "block string, doc_ids array<long>, held array<boolean>, sizes array<long>, symbols binary, words binary, tokens long"
+
+
+def write_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of ``docs(doc_id long, text binary, held_out)``, written to the shared folder: texts as numbers of the block's own words."""
     import pyarrow as pa
 
-    def count(batches):
-        held: Counter = Counter()
+    def cut(batches):
+        import xxhash
 
         def out():
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([held[k] for k in keys], pa.int64())], names=["token", "c"])
+            words = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in index), dtype=np.uint64, count=len(index))
+            row = [uuid.uuid4().hex], [ids], [held], [sizes], [_packed(np.array(flat, dtype=np.int32))], [words.tobytes()], [len(flat)]
+            kinds = pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()
+            names = ["block", "doc_ids", "held", "sizes", "symbols", "words", "tokens"]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
 
+        index, flat, ids, held, sizes = {END_KEY: END}, [], [], [], []
         for batch in batches:
-            for _, texts in _chunks(batch.column(0)):
-                for t in texts:
-                    held.update(split_words(t))
-                held[END_KEY] += len(texts)
-                if len(held) > 250_000:
+            for i in range(batch.num_rows):
+                words = split_words(batch.column(1)[i].as_py())
+                if flat and len(flat) + len(words) >= BLOCK:
                     yield out()
-                    held.clear()
-        if held:
+                    index, flat, ids, held, sizes = {END_KEY: END}, [], [], [], []
+                flat += [index.setdefault(w, len(index)) for w in words]
+                flat.append(END)
+                ids.append(batch.column(0)[i].as_py())
+                held.append(batch.column(2)[i].as_py())
+                sizes.append(len(words) + 1)
+        if flat:
             yield out()
 
-    return training.mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/lm-blocks-{uuid.uuid4().hex}"
+    docs.mapInArrow(cut, BLOCK_SCHEMA).write.option("parquet.block.size", 16 << 20).parquet(path)
+    return spark.read.schema(BLOCK_SCHEMA).parquet(path)
 
 
-class Vocabulary:
-    """Words looked up in workers: symbol and count by word."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for factor, shift in zip(_ODD, (29, 32), strict=True):
+        x = (x ^ (x >> np.uint64(shift))) * factor
+    return x ^ (x >> np.uint64(31))
 
-    def __init__(self, rows: list[tuple[bytes, int]], n: int, v: int):
-        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        self.n, self.v = n, v
-        ends = next((c for w, c in rows if w == END_KEY), 0)
-        words = [(w, c) for w, c in rows if w != END_KEY]
-        core = [(w, c) for w, c in words if c >= CORE * n]
-        self.inner = 2 + sum(c >= INNER * n for _, c in core)
-        self.size = 2 + len(core)
-        self.index = {w: i for i, (w, _) in enumerate(words)}
-        self.counts = np.array([c for _, c in words], dtype=np.int64)
-        self.core = len(core)
-        core_total = sum(c for _, c in core)
-        self.rare_n, self.rare_v = n - ends - core_total, v - (ends > 0) - len(core)
-        self.unigrams = np.array([ends, max(self.rare_n, 0), *(c for _, c in core)], dtype=np.float64)
 
-    def lookup(self, words: list[bytes]) -> np.ndarray:
-        """Places in ``counts``; -1 for a word that is not frequent."""
-        return np.fromiter(map(self.index.get, words, [-1] * len(words)), dtype=np.int64, count=len(words))
+def ngram_keys(symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 1-, 2- and 3-grams that end at each token, one order after another, and which tokens have a 3-gram.
 
-    def symbols(self, places: np.ndarray) -> np.ndarray:
-        return np.where((places >= 0) & (places < self.core), places + 2, RARE)
+    What comes before the end of a text is no history. Hashes of single words are odd, all others even.
+    """
+    w = words[symbols]
+    before = np.concatenate([words[END : END + 1], w[:-1]])
+    third = np.concatenate([[END], symbols[:-1]]) != END
+    third[:1] = False
+    two = _mixed(before * _ODD[1] + _mixed(w))
+    past = np.concatenate([np.zeros(1, dtype=np.uint64), two[:-1]])
+    three = _mixed(past[third] * _ODD[0] + w[third])
+    even = ~np.uint64(1)
+    return np.concatenate([_mixed(w) | np.uint64(1), two & even, three & even]), third
 
 
-def ngram_counts(training: DataFrame, shared) -> DataFrame:
-    """(order, key, c): keys pack the symbols; trigrams have histories of inner words or the end only."""
-    import pyarrow as pa
+def _distinct(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a block, its hashes in order, the place of each n-gram among them, which tokens have a 3-gram."""
+    symbols = _unpacked(row["symbols"], np.int32)
+    keys, third = ngram_keys(symbols, np.frombuffer(row["words"], dtype=np.uint64))
+    keys, places = np.unique(keys, return_inverse=True)
+    return symbols, keys, places, third
 
-    def count(batches):
-        vocab = shared.value
-        k = vocab.size
 
-        def table(order, keys):
-            u, c = np.unique(keys, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), order, dtype=np.int32)), pa.array(u), pa.array(c.astype(np.int64))], names=["ord", "key", "c"])
+def _rows(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
-        def histories(symbols):
-            inner = (symbols != RARE) & (symbols < vocab.inner)
-            two = symbols[:-1] * k + symbols[1:]
-            # Histories do not reach over the end of a text: what comes before it is cut off.
-            ok = inner[:-2] & inner[1:-1] & (symbols[1:-1] != END)
-            return two, two[:-1][ok] * k + symbols[2:][ok]
 
-        held = []
-        size = 0
-        for batch in batches:
-            for _, texts in _chunks(batch.column(0)):
-                flat: list[bytes] = []
-                ends = []
-                for t in texts:
-                    flat += split_words(t)
-                    flat.append(END_KEY)
-                    ends.append(len(flat) - 1)
-                symbols = vocab.symbols(vocab.lookup(flat))
-                symbols[ends] = END
-                held.append(np.concatenate([[END], symbols]))
-                size += len(flat)
-                if size > 1_000_000:
-                    pairs = [histories(s) for s in held]
-                    yield table(2, np.concatenate([p[0] for p in pairs]))
-                    yield table(3, np.concatenate([p[1] for p in pairs]))
-                    held, size = [], 0
-        if held:
-            pairs = [histories(s) for s in held]
-            yield table(2, np.concatenate([p[0] for p in pairs]))
-            yield table(3, np.concatenate([p[1] for p in pairs]))
-
-    found = training.mapInArrow(count, "ord int, key long, c long")
-    return found.groupBy("ord", "key").agg(F.sum("c").alias("c"))
+def whole_counts(blocks: DataFrame, shards: int) -> DataFrame:
+    """(block, shard, counts, n, v): the training counts of a block's n-grams in the order of their hashes; n and v add up to N and V."""
+    import pyarrow as pa
+
+    edges = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
+
+    def ask(batches):
+        for row in _rows(batches):
+            _, keys, places, third = _distinct(row)
+            trained = np.repeat(~np.array(row["held"], dtype=bool), row["sizes"])
+            said = np.bincount(places, weights=np.concatenate([trained, trained, trained[third]]), minlength=len(keys)).astype(np.uint32)
+            cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[s], cuts[s + 1])
+                steps = np.diff(keys[part], prepend=np.uint64(0))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s], pa.int64()), pa.array([row["block"]]), pa.array([_packed(steps)], pa.binary()), pa.array([_packed(said[part])], pa.binary())],
+                    names=["shard", "block", "keys", "said"],
+                )
+
+    def answer(table):
+        keys = [np.cumsum(_unpacked(k.as_py(), np.uint64), dtype=np.uint64) for k in table.column("keys")]
+        said = np.concatenate([_unpacked(c.as_py(), np.uint32) for c in table.column("said")])
+        distinct, places = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(places, weights=said, minlength=len(distinct)).astype(np.int64)
+        single = sums[(distinct & np.uint64(1)) == 1]
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        counts = [_packed(sums[p]) for p in np.split(places, cuts)]
+        rest = [0] * (len(keys) - 1)
+        return pa.table(
+            [table.column("block"), table.column("shard"), pa.array(counts, pa.binary()), pa.array([int(single.sum()), *rest], pa.int64()), pa.array([int((single > 0).sum()), *rest], pa.int64())],
+            names=["block", "shard", "counts", "n", "v"],
+        )
+
+    asked = blocks.mapInArrow(ask, "shard long, block string, keys binary, said binary")
+    return pin(asked.groupBy("shard").applyInArrow(answer, "block string, shard long, counts binary, n long, v long"))
 
 
 class Automaton:
     """States 0 (no history), then one- and two-symbol histories; arcs sorted by (state, symbol).
 
-    Log-probabilities are to base ten. State 0 has an arc for every symbol.
+    Log-probabilities are to base ten. State 0 has an arc for every symbol. ``ones``: count by symbol;
+    ``twos``, ``threes``: distinct n-grams as columns of symbols, and their counts (zeros are left out).
     """
 
-    def __init__(self, unigrams: np.ndarray, bigrams: dict[tuple[int, int], int], trigrams: dict[tuple[int, int, int], int]):
-        k = self.k = len(unigrams)
-        p1 = (unigrams + 1.0) / (unigrams.sum() + k)
-        ones = sorted({a for a, _ in bigrams})
-        state1 = {a: i + 1 for i, a in enumerate(ones)}
-        twos = sorted({(a, b) for a, b, _ in trigrams if (a, b) in bigrams})
-        state2 = {ab: len(ones) + 1 + i for i, ab in enumerate(twos)}
-        n = 1 + len(ones) + len(twos)
-        self.fail, self.backoff = np.zeros(n, dtype=np.int64), np.zeros(n)
+    def __init__(self, ones: np.ndarray, twos: np.ndarray, two_counts: np.ndarray, threes: np.ndarray, three_counts: np.ndarray, n: int, v: int):
+        k = self.k = len(ones)
+        twos, two_counts = twos[two_counts > 0], two_counts[two_counts > 0]
+        threes, three_counts = threes[three_counts > 0], three_counts[three_counts > 0]
+        p1 = (ones + 1.0) / (n + v + 1.0)
+        self.after = np.where(ones > 0, np.cumsum(ones > 0), 0).astype(np.int64)
+        first = 1 + int((ones > 0).sum())
+        pairs = twos[:, 0].astype(np.int64) * k + twos[:, 1]
+        order = np.argsort(pairs)
+        pairs, twos, two_counts = pairs[order], twos[order], two_counts[order]
+        place = lambda a, b: np.searchsorted(pairs, a.astype(np.int64) * k + b)
+        history = np.concatenate([[0], ones[ones > 0], two_counts]).astype(float)
+        self.fail = np.concatenate([np.zeros(first, dtype=np.int64), self.after[twos[:, 1]]])
+        self.backoff = np.log10(PRIOR / (history + PRIOR))
         self.unigram = np.log10(p1)
-        self.after = np.array([state1.get(w, 0) for w in range(k)], dtype=np.int64)
-        probs: dict[tuple[int, int], float] = {}
-        arcs: list[tuple[int, float, int]] = []
-        by1: dict[int, list] = {}
-        for (a, b), c in bigrams.items():
-            by1.setdefault(a, []).append((b, c))
-        for a, out in by1.items():
-            s, total = state1[a], max(unigrams[a], sum(c for _, c in out))
-            scale, self.backoff[s] = self._left_over(out, total, sum(p1[b] for b, _ in out))
-            for b, c in out:
-                probs[a, b] = scale * (c - DISCOUNT) / total
-                arcs.append((s * k + b, math.log10(probs[a, b]), state2.get((a, b), state1.get(b, 0))))
-        by2: dict[tuple[int, int], list] = {}
-        for (a, b, d), c in trigrams.items():
-            if (a, b) in state2:
-                by2.setdefault((a, b), []).append((d, c))
-        for (a, b), out in by2.items():
-            s, total = state2[a, b], max(bigrams[a, b], sum(c for _, c in out))
-            back = state1.get(b, 0)
-            self.fail[s] = back
-            lower = {d: probs.get((b, d), 10.0 ** self.backoff[back] * p1[d]) for d, _ in out}
-            scale, self.backoff[s] = self._left_over(out, total, sum(lower.values()))
-            for d, c in out:
-                arcs.append((s * k + d, math.log10(scale * (c - DISCOUNT) / total), state2.get((b, d), state1.get(d, 0))))
-        arcs.sort()
-        self.keys = np.array([x[0] for x in arcs], dtype=np.int64)
-        self.logp = np.array([x[1] for x in arcs])
-        self.next = np.array([x[2] for x in arcs], dtype=np.int64)
+        p2 = (two_counts + PRIOR * p1[twos[:, 1]]) / (ones[twos[:, 0]] + PRIOR)
+        old, new = place(threes[:, 0], threes[:, 1]), place(threes[:, 1], threes[:, 2])
+        p3 = (three_counts + PRIOR * p2[new]) / (two_counts[old] + PRIOR)
+        keys = np.concatenate([self.after[twos[:, 0]] * k + twos[:, 1], (first + old) * k + threes[:, 2]])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.logp = np.log10(np.concatenate([p2, p3]))[order]
         self.start = int(self.after[END])
-
-    @staticmethod
-    def _left_over(out: list[tuple[int, int]], total: float, low: float) -> tuple[float, float]:
-        """Factor of the arcs' discounted shares and log10 of the backoff weight; if every symbol has an arc, nothing is left over."""
-        kept = sum((c - DISCOUNT) / total for _, c in out)
-        if low > 1.0 - 1e-9:
-            return 1.0 / kept, 0.0
-        return 1.0, math.log10(max(1.0 - kept, 1e-12) / (1.0 - low))
+        # After an end comes a new text.
+        self.next = np.where(self.keys % k == END, self.start, np.concatenate([first + np.arange(len(pairs)), first + new])[order])
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probabilities and next states; failure arcs are followed until an arc fits."""
@@ -244,18 +250,19 @@ class Automaton:
         return np.bincount(owner, weights=sums, minlength=len(ends))
 
 
-def train(training: DataFrame) -> tuple[DataFrame, Vocabulary, Automaton]:
-    """Counts of all tokens (distributed), the bounded vocabulary and the automaton of ``training(text binary)``."""
-    counts = pin(token_counts(training))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where((F.col("c") >= FREQUENT * n) | (F.col("token") == END_KEY)).collect()
-    vocab = Vocabulary([(bytes(r.token), r.c) for r in frequent], n, v)
-    shared = training.sparkSession.sparkContext.broadcast(vocab)
-    kept = ngram_counts(training, shared).where((F.col("c") >= max(2.0, KEEP * n))).collect()
-    k = vocab.size
-    two = {divmod(r.key, k): r.c for r in kept if r.ord == 2}
-    three = {(r.key // (k * k), r.key // k % k, r.key % k): r.c for r in kept if r.ord == 3}
-    return counts, vocab, Automaton(vocab.unigrams, two, three)
+def _automaton(symbols: np.ndarray, counts: np.ndarray, places: np.ndarray, third: np.ndarray, n: int, v: int) -> tuple[Automaton, np.ndarray]:
+    """The automaton of a block and the count of each of its tokens."""
+    size = len(symbols)
+    one = counts[places[:size]]
+    ones = np.zeros(int(symbols.max()) + 1, dtype=np.int64)
+    ones[symbols] = one
+    before = np.concatenate([[END], symbols[:-1]])
+    _, at = np.unique(places[size : 2 * size], return_index=True)
+    twos, two_counts = np.stack([before[at], symbols[at]], axis=1), counts[places[size + at]]
+    _, of = np.unique(places[2 * size :], return_index=True)
+    at = np.flatnonzero(third)[of]
+    threes, three_counts = np.stack([before[at - 1], before[at], symbols[at]], axis=1), counts[places[2 * size + of]]
+    return Automaton(ones, twos, two_counts, threes, three_counts, n, v), one
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -266,66 +273,29 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """
     import pyarrow as pa
 
-    spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    counts, vocab, automaton = train(given.where("not held_out").select("text"))
-    shared = spark.sparkContext.broadcast((vocab, automaton))
-    n, v = vocab.n, vocab.v
-    base_all, rare_all = math.log10(n + v + 1), math.log10(max(vocab.rare_n, 0) + max(vocab.rare_v, 0) + 1)
-    names = ["row", "doc_id", "held_out", "token", "tf", "n_tokens", "n_known", "base", "lm"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    blocks = write_blocks(given)
+    tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    answers = whole_counts(blocks, max(1, -(-3 * tokens // (2 * SHARD))))
+    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
 
     def score(batches):
-        vocab, automaton = shared.value
-        logs = np.log10(vocab.counts + 1.0) if len(vocab.counts) else np.zeros(0)
-        end_known, end_log = int(vocab.unigrams[END] > 0), math.log10(vocab.unigrams[END] + 1.0)
-        for batch in batches:
-            for start, texts in _chunks(batch.column(2)):
-                flat: list[bytes] = []
-                ends = []
-                for t in texts:
-                    flat += split_words(t)
-                    flat.append(END_KEY)
-                    ends.append(len(flat))
-                stops = np.array(ends)
-                places = vocab.lookup(flat)
-                symbols = vocab.symbols(places)
-                symbols[stops - 1] = END
-                owner = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], stops])))
-                found = places >= 0
-                gain = np.zeros(len(flat))
-                gain[found] = logs[places[found]]
-                known = np.bincount(owner, weights=found, minlength=len(texts)).astype(np.int64) + end_known
-                sizes = np.diff(np.concatenate([[0], stops]))
-                base = np.bincount(owner, weights=gain, minlength=len(texts)) + end_log - sizes * base_all
-                rare = symbols == RARE
-                inside = np.bincount(owner[rare], weights=gain[rare] - rare_all, minlength=len(texts))
-                lm = automaton.score(symbols, stops) + inside
-                rows, ids, held = (batch.column(c).slice(start, len(texts)) for c in (0, 1, 3))
-                yield pa.RecordBatch.from_arrays(
-                    [rows, ids, held, pa.array([b" %d" % r.as_py() for r in rows], pa.binary()), pa.array(np.zeros(len(texts), dtype=np.int64)), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(lm)],
-                    names=names,
-                )
-                missing = np.flatnonzero(~found & (symbols != END))
-                if len(missing):
-                    pairs = Counter(zip(owner[missing].tolist(), map(flat.__getitem__, missing.tolist()), strict=True))
-                    who = rows.take(pa.array([p[0] for p in pairs]))
-                    none = [pa.nulls(len(pairs), t) for t in kinds]
-                    yield pa.RecordBatch.from_arrays([who, none[1], none[2], pa.array([p[1] for p in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int64()), *none[5:]], names=names)
-
-    schema = "row long, doc_id long, held_out boolean, token binary, tf long, n_tokens long, n_known long, base double, lm double"
-    numbered = given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
-    parts = numbered.mapInArrow(score, schema)
-    # Rows of whole texts have tokens of their own that match nothing; rare words meet their counts.
-    rare = counts.where((F.col("c") < FREQUENT * n) & (F.col("token") != END_KEY)).hint("shuffle_hash")
-    met = parts.join(rare, "token", "left")
-    gain = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)
-    summed = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(F.lit(0)))).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"), (F.sum("base") + F.sum(gain)).alias("base_score"), (F.sum("lm") + F.sum(gain)).alias("score"),
-    )
-    return summed.drop("row")
+        for row in _rows(batches):
+            symbols, _, places, third = _distinct(row)
+            counts = np.concatenate([_unpacked(a["counts"], np.int64) for a in row["answers"]])
+            automaton, one = _automaton(symbols, counts, places, third, n, v)
+            sizes = np.array(row["sizes"])
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            base = np.bincount(owner, weights=np.log10(one + 1.0), minlength=len(sizes)) - sizes * math.log10(n + v + 1)
+            known = np.bincount(owner, weights=one > 0, minlength=len(sizes)).astype(np.int64)
+            lm = automaton.score(symbols.astype(np.int64), np.cumsum(sizes))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n)), pa.array(base), pa.array(lm)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    each = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "counts"))).alias("answers"))
+    return blocks.join(each, "block").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

@@ -170,71 +170,60 @@ def test_lm(docs, empty):
 
 
 class BackoffModel:
-    """Discounted counts with backoff over words, looked up history by history; no automaton."""
+    """Probabilities by the formula, over dictionaries of words; no automaton, hashes or blocks."""
 
     def __init__(self, texts):
-        self.one, self.two, self.three = Counter(), Counter(), Counter()
+        self.c = Counter()
         for t in texts:
             seq = ["", *t, ""]
-            self.one.update(seq[1:])
-            self.two.update(zip(seq, seq[1:], strict=False))
-            self.three.update(k for k in zip(seq, seq[1:], seq[2:], strict=False) if k[1] != "")
-        self.n, self.k = sum(self.one.values()), len(self.one) + 1 + ("" not in self.one)
-        self.two = {k: c for k, c in self.two.items() if c >= 2}
-        self.three = {k: c for k, c in self.three.items() if c >= 2 and k[:2] in self.two}
-
-    def p1(self, w):
-        return (self.one[w] + 1) / (self.n + self.k)
-
-    def back(self, history, w, table, lower, count):
-        arcs = {k[-1]: c for k, c in table.items() if k[:-1] == history}
-        if not arcs:
-            return lower(w)
-        total = max(count, sum(arcs.values()))
-        if w in arcs:
-            return (arcs[w] - 0.75) / total
-        return lower(w) * (1 - sum((c - 0.75) / total for c in arcs.values())) / (1 - sum(lower(x) for x in arcs))
-
-    def p2(self, a, w):
-        return self.back((a,), w, self.two, self.p1, self.one[a])
+            self.c.update((w,) for w in seq[1:])
+            self.c.update(zip(seq, seq[1:], strict=False))
+            self.c.update(k for k in zip(seq, seq[1:], seq[2:], strict=False) if k[1] != "")
+        single = [c for k, c in self.c.items() if len(k) == 1]
+        self.base = sum(single) + len(single) + 1
+
+    def p(self, history, w):
+        if not history:
+            return (self.c[(w,)] + 1) / self.base
+        return (self.c[(*history, w)] + ngram.PRIOR * self.p(history[1:], w)) / (self.c[history] + ngram.PRIOR)
 
     def score(self, t):
-        total, seq = 0.0, ["", *t, ""]
-        for i in range(1, len(seq)):
-            w, b = seq[i], seq[i - 1]
-            a = seq[i - 2] if i > 1 else None
-            total += np.log10(self.back((a, b), w, self.three, lambda x, b=b: self.p2(b, x), self.two.get((a, b), 0)))
-        return total
+        seq = ["", *t, ""]
+        return sum(np.log10(self.p(tuple(seq[max(0, i - 2) : i]), seq[i])) for i in range(1, len(seq)))
+
+
+def zipf_texts(r):
+    words = [f"w{i}" for i in range(60)]
+    texts = [[words[min(int(r.expovariate(0.15)), 59)] for _ in range(r.randint(0, 60))] for _ in range(120)]
+    return [*texts, [], texts[0] * 40, ["never", "seen"], ["w0"]]
 
 
-def test_scores_equal_a_backoff_model_without_automaton(spark):
+@pytest.mark.parametrize("block, shard", [(ngram.BLOCK, ngram.SHARD), (300, 500)])
+def test_scores_equal_a_backoff_model_without_automaton(spark, monkeypatch, block, shard):
     import random
 
-    r = random.Random(5)
-    words = [f"w{i}" for i in range(30)]
-    texts = [[words[min(int(r.expovariate(0.15)), 29)] for _ in range(r.randint(0, 60))] for _ in range(120)]
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
-    model = BackoffModel(train)
+    monkeypatch.setattr(ngram, "BLOCK", block)
+    monkeypatch.setattr(ngram, "SHARD", shard)
+    texts = zipf_texts(random.Random(5))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    model = BackoffModel([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2])
     got = {x.doc_id: x.score for x in ngram.lm_scores(docs).collect()}
-    known = {w for t in train for w in t}
+    assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        if set(t) <= known:
-            assert got[i] == pytest.approx(model.score(t), abs=1e-6), i
+        assert got[i] == pytest.approx(model.score(t), abs=1e-6), i
 
 
 def test_automaton_is_a_distribution_and_lanes_do_not_matter(monkeypatch):
     rng = np.random.default_rng(1)
-    seq = rng.integers(0, 7, 4000)
-    two, three = Counter(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)), Counter(zip(seq[:-2].tolist(), seq[1:-1].tolist(), seq[2:].tolist(), strict=True))
-    two = Counter({k: v for k, v in two.items() if v > 75})
-    three = Counter({k: v for k, v in three.items() if v > 11 and k[:2] in two and k[1:] in two})
-    auto = ngram.Automaton(np.bincount(seq, minlength=7).astype(float), two, three)
-    for s in range(len(auto.fail)):
+    texts = [[*rng.integers(1, 7, k).tolist(), 0] for k in (1, 3, 700, 1500)]
+    symbols, sizes = np.concatenate(texts), [len(t) for t in texts]
+    keys, third = ngram.ngram_keys(symbols, np.arange(7, dtype=np.uint64) * np.uint64(12345) + np.uint64(99))
+    _, places, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    auto, one = ngram._automaton(symbols, counts, places, third, len(symbols), 7)
+    assert one.tolist() == np.bincount(symbols)[symbols].tolist()
+    for s in {0, *auto.after.tolist(), *auto.next.tolist()}:
         gain, _ = auto.step(np.full(7, s), np.arange(7))
-        assert np.sum(10.0**gain) == pytest.approx(1, abs=1e-6)
-    texts = [rng.integers(0, 7, k) for k in (1, 3, 700, 1500)]
-    flat, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+        assert np.sum(10.0**gain) == pytest.approx(1, abs=1 / len(symbols))
     want = []
     for t in texts:
         state, total = np.array([auto.start]), 0.0
@@ -243,7 +232,7 @@ def test_automaton_is_a_distribution_and_lanes_do_not_matter(monkeypatch):
             total += gain[0]
         want.append(total)
     monkeypatch.setattr(ngram, "LANE", 100)
-    assert auto.score(flat, ends) == pytest.approx(want)
+    assert auto.score(symbols, np.cumsum(sizes)) == pytest.approx(want)
 
 
 def reference_ids(texts, literal=False):
