@@ -22,12 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import lower_ascii, pin, shared_dir, text_or_empty
+from lodestack.llm.common import lower_ascii, pin, shared_dir, short_lived_shuffles, text_or_empty
 
 #: Weight of the shorter history's distribution, in tokens.
 PRIOR = 4.0
 #: Tokens of a block, and n-grams that a shard holds on average.
-BLOCK, SHARD = 2_000_000, 2_000_000
+BLOCK, SHARD = 1_000_000, 1_500_000
 END = 0
 #: Key of the end token in tables; no word holds a space.
 END_KEY = b" "
@@ -45,19 +45,21 @@ def held_out(doc_id):
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Integers by byte planes, compressed."""
+    """Integers by byte planes, each compressed on its own: those of hashes are noise in the low planes and nothing in the high ones."""
     import zstandard
 
-    raw = np.ascontiguousarray(values)
-    return zstandard.ZstdCompressor(level=1).compress(raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes())
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    parts = [zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in planes]
+    return np.array([len(p) for p in parts], dtype="<u4").tobytes() + b"".join(parts)
 
 
 def _unpacked(data: bytes, kind) -> np.ndarray:
     import zstandard
 
     width = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    ends = 4 * width + np.concatenate([[0], np.cumsum(np.frombuffer(data, dtype="<u4", count=width), dtype=np.int64)])
+    planes = [np.frombuffer(zstandard.ZstdDecompressor().decompress(data[a:b]), dtype=np.uint8) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return np.stack(planes, axis=1).view(kind).ravel()
 
 
 BLOCK_SCHEMA = "block string, doc_ids array<long>, held array<boolean>, sizes array<long>, symbols binary, words binary, tokens long"
@@ -125,7 +127,7 @@ def _distinct(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     symbols = _unpacked(row["symbols"], np.int32)
     keys, third = ngram_keys(symbols, np.frombuffer(row["words"], dtype=np.uint64))
     keys, places = np.unique(keys, return_inverse=True)
-    return symbols, keys, places, third
+    return symbols, keys, places.astype(np.int32), third
 
 
 def _rows(batches):
@@ -168,42 +170,38 @@ def whole_counts(blocks: DataFrame, shards: int) -> DataFrame:
             names=["block", "shard", "counts", "n", "v"],
         )
 
-    asked = blocks.mapInArrow(ask, "shard long, block string, keys binary, said binary")
-    return pin(asked.groupBy("shard").applyInArrow(answer, "block string, shard long, counts binary, n long, v long"))
+    with short_lived_shuffles(blocks.sparkSession):
+        asked = blocks.mapInArrow(ask, "shard long, block string, keys binary, said binary")
+        return pin(asked.groupBy("shard").applyInArrow(answer, "block string, shard long, counts binary, n long, v long"))
 
 
 class Automaton:
     """States 0 (no history), then one- and two-symbol histories; arcs sorted by (state, symbol).
 
-    Log-probabilities are to base ten. State 0 has an arc for every symbol. ``ones``: count by symbol;
-    ``twos``, ``threes``: distinct n-grams as columns of symbols, and their counts (zeros are left out).
+    Log-probabilities are to base ten. State 0 has an arc for every symbol. ``ones``: count by symbol. ``twos``:
+    first symbol, second symbol and count of every distinct 2-gram that has a count; ``threes``: the numbers in ``twos``
+    of the first and the last two symbols, the last symbol and the count of every such 3-gram.
     """
 
-    def __init__(self, ones: np.ndarray, twos: np.ndarray, two_counts: np.ndarray, threes: np.ndarray, three_counts: np.ndarray, n: int, v: int):
+    def __init__(self, ones: np.ndarray, twos: tuple, threes: tuple, n: int, v: int):
         k = self.k = len(ones)
-        twos, two_counts = twos[two_counts > 0], two_counts[two_counts > 0]
-        threes, three_counts = threes[three_counts > 0], three_counts[three_counts > 0]
+        (a, b, two_counts), (old, new, last, three_counts) = twos, threes
         p1 = (ones + 1.0) / (n + v + 1.0)
         self.after = np.where(ones > 0, np.cumsum(ones > 0), 0).astype(np.int64)
         first = 1 + int((ones > 0).sum())
-        pairs = twos[:, 0].astype(np.int64) * k + twos[:, 1]
-        order = np.argsort(pairs)
-        pairs, twos, two_counts = pairs[order], twos[order], two_counts[order]
-        place = lambda a, b: np.searchsorted(pairs, a.astype(np.int64) * k + b)
-        history = np.concatenate([[0], ones[ones > 0], two_counts]).astype(float)
-        self.fail = np.concatenate([np.zeros(first, dtype=np.int64), self.after[twos[:, 1]]])
+        history = np.concatenate([[0], ones[ones > 0], two_counts])
+        self.fail = np.concatenate([np.zeros(first, dtype=np.int64), self.after[b]])
         self.backoff = np.log10(PRIOR / (history + PRIOR))
         self.unigram = np.log10(p1)
-        p2 = (two_counts + PRIOR * p1[twos[:, 1]]) / (ones[twos[:, 0]] + PRIOR)
-        old, new = place(threes[:, 0], threes[:, 1]), place(threes[:, 1], threes[:, 2])
+        p2 = (two_counts + PRIOR * p1[b]) / (ones[a] + PRIOR)
         p3 = (three_counts + PRIOR * p2[new]) / (two_counts[old] + PRIOR)
-        keys = np.concatenate([self.after[twos[:, 0]] * k + twos[:, 1], (first + old) * k + threes[:, 2]])
+        keys = np.concatenate([self.after[a] * k + b, (first + old.astype(np.int64)) * k + last])
         order = np.argsort(keys)
         self.keys = keys[order]
         self.logp = np.log10(np.concatenate([p2, p3]))[order]
         self.start = int(self.after[END])
         # After an end comes a new text.
-        self.next = np.where(self.keys % k == END, self.start, np.concatenate([first + np.arange(len(pairs)), first + new])[order])
+        self.next = np.where(self.keys % k == END, self.start, np.concatenate([first + np.arange(len(a)), first + new])[order])
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probabilities and next states; failure arcs are followed until an arc fits."""
@@ -250,19 +248,27 @@ class Automaton:
         return np.bincount(owner, weights=sums, minlength=len(ends))
 
 
+def _counted(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place in ``ids`` of every id that has a count; by id the number of that place, -1 for others."""
+    at = np.full(len(counts), -1, dtype=np.int32)
+    at[ids] = np.arange(len(ids))
+    found = np.flatnonzero((at >= 0) & (counts > 0))
+    number = np.full(len(counts), -1, dtype=np.int32)
+    number[found] = np.arange(len(found))
+    return at[found], number
+
+
 def _automaton(symbols: np.ndarray, counts: np.ndarray, places: np.ndarray, third: np.ndarray, n: int, v: int) -> tuple[Automaton, np.ndarray]:
     """The automaton of a block and the count of each of its tokens."""
-    size = len(symbols)
-    one = counts[places[:size]]
+    one, two, three = np.split(places, [len(symbols), 2 * len(symbols)])
     ones = np.zeros(int(symbols.max()) + 1, dtype=np.int64)
-    ones[symbols] = one
-    before = np.concatenate([[END], symbols[:-1]])
-    _, at = np.unique(places[size : 2 * size], return_index=True)
-    twos, two_counts = np.stack([before[at], symbols[at]], axis=1), counts[places[size + at]]
-    _, of = np.unique(places[2 * size :], return_index=True)
+    ones[symbols] = counts[one]
+    at, number = _counted(two, counts)
+    twos = np.where(at > 0, symbols[at - 1], END), symbols[at], counts[two[at]]
+    of, _ = _counted(three, counts)
     at = np.flatnonzero(third)[of]
-    threes, three_counts = np.stack([before[at - 1], before[at], symbols[at]], axis=1), counts[places[2 * size + of]]
-    return Automaton(ones, twos, two_counts, threes, three_counts, n, v), one
+    threes = number[two[at - 1]], number[two[at]], symbols[at], counts[three[of]]
+    return Automaton(ones, twos, threes, n, v), counts[one]
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -281,9 +287,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     def score(batches):
         for row in _rows(batches):
-            symbols, _, places, third = _distinct(row)
             counts = np.concatenate([_unpacked(a["counts"], np.int64) for a in row["answers"]])
-            automaton, one = _automaton(symbols, counts, places, third, n, v)
+            symbols, _, *where = _distinct(row)
+            automaton, one = _automaton(symbols, counts, *where, n, v)
+            del counts, where
             sizes = np.array(row["sizes"])
             owner = np.repeat(np.arange(len(sizes)), sizes)
             base = np.bincount(owner, weights=np.log10(one + 1.0), minlength=len(sizes)) - sizes * math.log10(n + v + 1)
