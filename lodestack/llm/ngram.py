@@ -27,7 +27,7 @@ from lodestack.llm.common import lower_ascii, pin, shared_dir, short_lived_shuff
 #: Weight of the shorter history's distribution, in tokens.
 PRIOR = 4.0
 #: Tokens of a block, and n-grams that a shard holds on average.
-BLOCK, SHARD = 1_000_000, 1_500_000
+BLOCK, SHARD = 1_250_000, 1_500_000
 END = 0
 #: Key of the end token in tables; no word holds a space.
 END_KEY = b" "
