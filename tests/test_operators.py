@@ -156,7 +156,7 @@ def test_drift_states_and_baselines(spark):
         drift.update_baselines(m, d, "other")
 
 
-@pytest.mark.parametrize("name", ["drift_compare"])
+@pytest.mark.parametrize("name", ["drift_compare", "stream_drift"])
 def test_drift_of_short_pages_equals_sql(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     short, long = "<p>few words</p><a onclick='track(%d)'>x</a>", "<p>" + "many words here " * 20 + "</p><a onclick='track(%d)'>x</a>"
