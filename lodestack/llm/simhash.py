@@ -10,10 +10,10 @@ No step makes all pairs of a group. Equal fingerprints collapse to one class fir
 every probe to one centre of each bucket it meets; the second joins buckets of two or more in full, but
 keeps links between different components only, so what it makes stays near the number of classes.
 
-The pipeline's near copies are told by five-word shingles instead. At a similarity of 0.8 some 10 of 64 bits of
-a SimHash differ, so that balls of radius one around 32-bit segments meet one pair in thirty a segment. Their
-fingerprints therefore consist of MinHash values; the segments of the multi-index are bands of six values, met
-without a ball, and the complete similarity is verified.
+The pipeline's near copies are told by five-word shingles instead. At a similarity of 0.8 some 15 of 100 bits of
+a SimHash differ, so their fingerprints have 2304 bits, cut into 96 segments of 24: a ball of radius one around
+a segment meets one such pair in ten, and all segments together miss one in some 30,000. Balls are met within
+shards of the table; the distance of the first 128 bits is checked there, the complete similarity afterwards.
 """
 
 from __future__ import annotations
@@ -25,17 +25,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import lower_ascii, pin, text_or_empty
+from lodestack.llm.common import lower_ascii, pin, short_lived_shuffles, text_or_empty
 from lodestack.llm.components import connected_components
 
 SEGMENT_BITS = 32
 #: Near copies of the pipeline: words of a shingle, least Jaccard similarity of the shingle sets.
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
-#: Keys of a text and MinHash values in a key: a pair of similarity 0.8 shares a key with probability 0.9999.
-BANDS, ROWS = 30, 6
+#: Segments of a near-copy fingerprint, their bits; bits of the first 128 that may differ (near copies: 19.4 of 128 at
+#: the least similarity, with a deviation of 4.1; other texts 64).
+NEAR_SEGMENTS, NEAR_BITS, NEAR_MOST = 96, 24, 42
+#: Classes up to which a segment is one shard; with more, either half of it is kept whole and the shards are so large.
+SHARD_ROWS = 1_000_000
+#: Rows in the ball around a segment, beyond four times those that chance puts there, from which on they meet by prefixes, not by pairs.
+CROWD = 8
 #: Members of a key that are joined in full from the second turn on; turns, the last of which joins all the rest.
 SMALL, TURNS = 16, 4
-_FACTORS = np.random.default_rng(20).integers(1 << 31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SALTS = np.random.default_rng(20).integers(1 << 63, size=NEAR_SEGMENTS * NEAR_BITS // 64, dtype=np.uint64)
+_ROW = np.dtype([("value", "<u4"), ("node", "<i8"), ("head", "<u8", 2)])
 #: Odd factor that mixes the hashes of a shingle's words.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,35 +177,173 @@ def _shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(mixed)
 
 
+def _sums(levels: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """Planes of bits, each of those at place k worth 2**k, added up until there is one at every place."""
+    for k, planes in enumerate(levels):
+        p = np.concatenate(planes)
+        while len(p) > 1:
+            n = max(len(p) // 3, 1)
+            x, y, z = p[:n], p[n : 2 * n], p[2 * n : 3 * n]
+            one, both = x ^ y, x & y
+            if len(z):
+                both, one = both | (one & z), one ^ z
+            if k + 1 == len(levels):
+                levels.append([])
+            levels[k + 1].append(both)
+            p = np.concatenate([one, p[3 * n :]])
+        levels[k] = [p]
+    return levels
+
+
+def shingle_fingerprint(text: str | None) -> bytes:
+    """SimHash of the text's set of five-word shingles: a bit is set if it is set in over half of the shingles' hashes.
+
+    Texts without words have a fingerprint of zeros.
+    """
+    hashes = _shingle_hashes(text)
+    levels: list[list[np.ndarray]] = [[np.zeros((1, len(_SALTS)), dtype=np.uint64)]]
+    for at in range(0, len(hashes), 512):
+        bits = (hashes[at : at + 512, None] ^ _SALTS) * _MIX
+        bits ^= bits >> np.uint64(32)
+        bits *= _MIX
+        bits ^= bits >> np.uint64(29)
+        levels[0].append(bits)
+        levels = _sums(levels)
+    half = len(hashes) // 2
+    more, equal = np.zeros(len(_SALTS), dtype=np.uint64), np.full(len(_SALTS), ~np.uint64(0))
+    for k in reversed(range(max(len(levels), half.bit_length()))):
+        plane = levels[k][0][0] if k < len(levels) else np.zeros_like(more)
+        if half >> k & 1:
+            equal &= plane
+        else:
+            more |= equal & plane
+            equal &= ~plane
+    return more.astype("<u8").tobytes()
+
+
+def _segments(raw: np.ndarray) -> np.ndarray:
+    """Values of all segments of fingerprints, one row of bytes each."""
+    parts = raw.reshape(len(raw), NEAR_SEGMENTS, NEAR_BITS // 8).astype(np.uint32)
+    return parts[:, :, 0] << 16 | parts[:, :, 1] << 8 | parts[:, :, 2]
+
+
 def shingle_keys(text: str | None) -> list[int]:
-    """BANDS keys of the text's set of five-word shingles, each hashed from ROWS of its MinHash values.
+    """Segments under which a text is in the table, and those that it probes: one bit away, where it has the bit set.
 
-    Two texts of similarity J agree in a key with probability J^ROWS, whatever kind of edit lies between them,
-    and in one key or more with 1 - (1 - J^ROWS)^BANDS. Texts without words share all keys.
+    Texts that differ in at most one bit of a segment share one.
     """
-    import xxhash
+    values = _segments(np.frombuffer(shingle_fingerprint(text), dtype=np.uint8)[None])[0]
+    return [s << NEAR_BITS | (v ^ m) for s, v in enumerate(map(int, values)) for m in ball_masks(1, NEAR_BITS) if v & m == m]
 
-    digest = xxhash.xxh64_intdigest
-    hashes = _shingle_hashes(text).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS).min(axis=0), out=least)
-    raw = least.astype("<u4").tobytes()
-    return [digest(raw[4 * ROWS * i : 4 * ROWS * (i + 1)], i) - (1 << 63) for i in range(BANDS)]
+
+def _meet(rows: np.ndarray, flips: list[int], own: bool, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a shard that meet within one of the bits ``flips``, or in no bit (``own``): value, node, crowd.
+
+    Pairs whose first bits differ in more than NEAR_MOST are left out. A row with over ``most`` rows in its ball is a crowd's and
+    named under the fullest value there; pairs of two such rows are not looked at.
+    """
+    rows = rows[np.argsort(rows["value"], kind="stable")]
+    value, node, first, second = (np.ascontiguousarray(x) for x in (rows["value"], rows["node"], rows["head"][:, 0], rows["head"][:, 1]))
+    distinct, start, count = np.unique(value, return_index=True, return_counts=True)
+
+    def held(near):
+        at = np.minimum(np.searchsorted(distinct, near), len(distinct) - 1)
+        return start[at], np.where(distinct[at] == near, count[at], 0)
+
+    best, size, ball = value.copy(), np.zeros(len(value), dtype=np.int64), np.zeros(len(value), dtype=np.int64)
+    for flip in [0, *flips]:
+        near = value ^ np.uint32(flip)
+        n = held(near)[1]
+        ball += n
+        best[n > size] = near[n > size]
+        size = np.maximum(size, n)
+    crowd = ball > most
+    found = [(best[crowd], node[crowd])]
+    for flip in [0, *flips] if own else flips:
+        for at in range(0, len(value), 1 << 16):
+            mine = np.arange(at, min(at + (1 << 16), len(value)))
+            mine = mine[value[mine] & np.uint32(flip) == flip]
+            low, n = held(value[mine] ^ np.uint32(flip))
+            few = (n > (flip == 0)) & (n <= most)
+            mine, low, n = mine[few], low[few], n[few]
+            i = np.repeat(mine, n)
+            j = np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(i))
+            apart = np.bitwise_count(first[i] ^ first[j]) + np.bitwise_count(second[i] ^ second[j])
+            met = (apart <= NEAR_MOST) & (i != j) & ~(crowd[i] & crowd[j])
+            found += [(value[j[met]], node[i[met]]), (value[j[met]], node[j[met]])]
+    values, nodes = (np.concatenate(x) for x in zip(*found, strict=True))
+    crowded = np.arange(len(values)) < int(crowd.sum())
+    order = np.lexsort((nodes, values, crowded))
+    values, nodes, crowded = values[order], nodes[order], crowded[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (nodes[1:] != nodes[:-1]) | (crowded[1:] != crowded[:-1])
+    return values[new], nodes[new], crowded[new]
+
+
+def near_members(classes: DataFrame) -> DataFrame:
+    """``classes(node long, _fp binary)``, nodes distinct -> ``(node, key, crowd)``: nodes by the segments in which they meet others.
+
+    Every pair with at most one differing bit in a segment shares a key, or both nodes have a row of a crowd.
+    """
+    import pyarrow as pa
+
+    n = classes.count()
+    pieces, most = -(-n // SHARD_ROWS), CROWD + (4 * n * (NEAR_BITS + 1) >> NEAR_BITS)
+    low = (1 << NEAR_BITS // 2) - 1
+    # Bits that the shard depends on, bits that may differ within it.
+    parts = [(0, low << NEAR_BITS // 2 | low)] if pieces <= 1 else [(low << NEAR_BITS // 2, low), (low, low << NEAR_BITS // 2)]
+    pieces = max(pieces, 1)
+
+    def deal(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
+            rows = np.empty(b.num_rows, dtype=_ROW)
+            rows["node"], rows["head"] = b.column(0).to_numpy(), np.ascontiguousarray(raw[:, :16]).view("<u8")
+            for s, value in enumerate(np.ascontiguousarray(_segments(raw).T)):
+                rows["value"] = value
+                shards, blobs = [], []
+                for part, (fixed, _) in enumerate(parts):
+                    piece = ((value & np.uint32(fixed)) * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(pieces)
+                    for p in np.unique(piece):
+                        shards.append((s * len(parts) + part) * pieces + int(p))
+                        blobs.append(rows[piece == p].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "rows"])
+
+    def meet(key, table):
+        shard = key[0].as_py()
+        part = shard // pieces % len(parts)
+        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), dtype=_ROW)
+        flips = [1 << i for i in range(NEAR_BITS) if parts[part][1] >> i & 1]
+        values, nodes, crowd = _meet(rows, flips, part == 0, most)
+        keys = values.astype(np.int64) | (shard // (pieces * len(parts)) << NEAR_BITS) | crowd.astype(np.int64) << 62
+        return pa.table({"node": nodes, "key": keys, "crowd": crowd})
+
+    with short_lived_shuffles(classes.sparkSession):
+        dealt = classes.select("node", "_fp").mapInArrow(deal, "shard long, rows binary")
+        met = dealt.groupBy("shard").applyInArrow(meet, "node long, key long, crowd boolean")
+        met = pin(met.distinct() if len(parts) > 1 else met)
+        # Pairs within crowds are left to prefixes in every segment, also where few rows meet.
+        dense = met.where("crowd").select("node", F.lit(True).alias("dense")).distinct()
+        told = met.join(dense, "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+        needed = told.groupBy("key").agg(F.min("dense").alias("every"), F.max("crowd").alias("any")).where("any or not every").select("key")
+        return pin(told.join(needed, "key").select("node", "key", "crowd"))
 
 
 def bucket_components(members: DataFrame, verify, prefixes) -> DataFrame:
-    """``members(node long, key long)`` -> ``(node, comp)`` of the nodes linked by verified pairs that share a key.
+    """``members(node long, key long, crowd boolean)`` -> ``(node, comp)`` of the nodes linked by verified pairs that share a key.
 
     Turn 0 looks at the pairs of every key's members with one centre of that key. Members that are then of one
     component are done. Of the keys that still hold several components, those of SMALL members or fewer are joined
-    in full, larger ones get another centre. The nodes of large keys that stay mixed get keys of another kind,
+    in full, larger ones get another centre. Keys of crowds have turn 0 only. The nodes of large keys that stay mixed, and all nodes of crowds, get keys of another kind,
     ``prefixes(nodes)`` -> ``(node, key, pos, size)``: texts that agree in a common passage, or that just miss the similarity,
     hardly ever share one, while similar ones always do. What the last turn finds mixed is joined in full.
     Sets that share the key at ``pos`` of ``size`` and none before have no more in common than what follows in the
     shorter rest; only pairs for which that is too little are left out.
     """
-    links, labels, at = None, None, members.select("node", "key", F.lit(0).alias("pos"), F.lit(0).alias("size"), F.col("node").alias("comp"))
+    dense = pin(members.where("crowd").select("node").distinct())
+    links, labels, at = None, None, members.select("node", "key", F.lit(0).alias("pos"), F.lit(0).alias("size"), F.col("node").alias("comp"), "crowd")
     theirs = ["pos", "size", "comp"]
     enough = F.least(F.col("size") - F.col("pos"), F.col("o_size") - F.col("o_pos")) * (1 + LEAST_SIMILARITY) >= (F.col("size") + F.col("o_size")) * LEAST_SIMILARITY - 1e-6
     apart = (F.col("comp") != F.col("o_comp")) & enough
@@ -207,7 +351,7 @@ def bucket_components(members: DataFrame, verify, prefixes) -> DataFrame:
         lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *theirs)).alias("c")
         mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo <> hi")
         mixed = pin(mixed.select("key", "n", F.col("c.node").alias("other"), *(F.col(f"c.{c}").alias(f"o_{c}") for c in theirs)))
-        if mixed.isEmpty():
+        if mixed.isEmpty() and (turn != TURNS - 3 or dense.isEmpty()):
             break
         last = turn == TURNS - 1
         full = F.lit(turn > 0) & ((F.col("n") <= SMALL) | F.lit(last))
@@ -221,18 +365,19 @@ def bucket_components(members: DataFrame, verify, prefixes) -> DataFrame:
         labels = connected_components(links)
         if last:
             break
+        if not turn:
+            at = at.where("not crowd")
         rest = at.join(mixed.where((F.col("n") > SMALL) | F.lit(turn == 0)).select("key"), "key").select("node", "key", "pos", "size")
         if turn == TURNS - 3:
-            rest = prefixes(pin(rest.select("node").distinct()))
+            rest = prefixes(pin(rest.select("node").union(dense).distinct()))
         at = pin(rest.join(labels, "node", "left").select("node", "key", "pos", "size", F.coalesce("comp", "node").alias("comp")))
     return labels if labels is not None else members.select("node", F.col("node").alias("comp")).limit(0)
 
 
-def _verifier(classes: DataFrame, docs: DataFrame):
-    """Two functions over sets of shingle hashes, which the first call of ``verify`` fetches for all nodes that it is given.
+def _verifier(classes: DataFrame, docs: DataFrame, nodes: DataFrame):
+    """Two functions over sets of shingle hashes, which the first call of ``verify`` fetches for all ``nodes(node)``.
 
-    ``verify(links(a, b))``: the links whose texts have the similarity of near copies; later calls must not name
-    other nodes. ``prefixes(nodes)`` -> ``(node, key, pos, size)``: of every set the rarest shingles among these nodes, one more
+    ``verify(links(a, b))``: the links whose texts have the similarity of near copies. ``prefixes(nodes)`` -> ``(node, key, pos, size)``: of every set the rarest shingles among these nodes, one more
     than a set may miss of a similar one. Similar sets share one of them, whatever else they hold.
     """
     held: list[DataFrame] = []
@@ -262,8 +407,7 @@ def _verifier(classes: DataFrame, docs: DataFrame):
 
     def verify(links: DataFrame) -> DataFrame:
         if not held:
-            ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-            wanted = classes.join(ends, "node").select("node", F.col("sample.doc_id").alias("w_id"))
+            wanted = classes.join(nodes, "node").select("node", F.col("sample.doc_id").alias("w_id"))
             texts = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.xxhash64(text_or_empty()).alias("d_hash"), text_or_empty().alias("t"))
             # One row stands for a text, whatever the number of its copies; equal rows are told apart by nothing.
             met = texts.join(wanted, F.col("d_id").eqNullSafe(F.col("w_id")) & (F.col("d_hash") == F.col("node")))
@@ -285,17 +429,15 @@ def _verifier(classes: DataFrame, docs: DataFrame):
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, comp per row of ``docs(doc_id, text, ...)``: comp is a text's hash, no doc_id; equal texts are one node."""
 
-    @F.pandas_udf("array<long>")
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_keys(t) for t in texts])
+    @F.pandas_udf("binary")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_fingerprint(t) for t in texts])
 
-    rows = pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), keys(text_or_empty()).alias("_keys")))
+    rows = pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), prints(text_or_empty()).alias("_fp")))
     sample = F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("sample")
-    classes = pin(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("_keys").alias("_keys"), sample))
-    every = classes.select("node", F.explode("_keys").alias("key"))
-    crowded = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = pin(every.join(crowded, "key").select("node", "key"))
-    comps = bucket_components(members, *_verifier(classes, docs))
+    classes = pin(rows.groupBy(F.col("text_hash").alias("node")).agg(F.first("_fp").alias("_fp"), sample))
+    members = near_members(classes)
+    comps = bucket_components(members, *_verifier(classes, docs, members.select("node").distinct()))
     named = comps.select(F.col("node").alias("text_hash"), "comp")
     return rows.select("doc_id", "text_hash").join(named, "text_hash", "left").select("doc_id", "text_hash", F.coalesce("comp", "text_hash").alias("comp"))
 

@@ -441,3 +441,60 @@ def test_groups_with_clashing_or_null_ids_stay_apart(spark):
     got = simhash.drop_near_duplicates(docs).collect()
     assert {" ".join(t) for t in (a[0], b[0])} == {r.text for r in got if r.doc_id == 1}
     assert Counter(r.doc_id for r in got) == {1: 2, None: 2}
+
+
+def bits(text):
+    return np.unpackbits(np.frombuffer(simhash.shingle_fingerprint(text), dtype=np.uint8))
+
+
+def test_shingle_fingerprints_are_majorities_of_hashes():
+    for n in (0, 1, 4, 5, 6, 9, 700, 1500):
+        hashes = simhash._shingle_hashes(" ".join(f"w{i}" for i in range(n)))
+        ones = np.zeros(simhash.NEAR_SEGMENTS * simhash.NEAR_BITS, dtype=np.int64)
+        for h in hashes:
+            z = (h ^ simhash._SALTS) * simhash._MIX
+            z = (z ^ z >> np.uint64(32)) * simhash._MIX
+            ones += np.unpackbits((z ^ z >> np.uint64(29)).astype("<u8").view(np.uint8))
+        assert (bits(" ".join(f"w{i}" for i in range(n))) == (2 * ones > len(hashes))).all()
+
+
+@pytest.mark.parametrize("shard_rows", [1000, 20])
+def test_near_copies_meet_by_hamming_balls_around_segments(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
+    texts = [" ".join(t) for seed in range(12) for base, edited in [near_copies(seed, 60)] for t in (base, *edited.values())]
+    prints = [bits(t) for t in texts]
+    classes = spark.createDataFrame([(i, bytearray(simhash.shingle_fingerprint(t))) for i, t in enumerate(texts)], "node long, _fp binary").repartition(3)
+    by_key = {}
+    for r in simhash.near_members(classes).collect():
+        assert not r.crowd
+        by_key.setdefault(r.key, set()).add(r.node)
+    met = {(a, b) for nodes in by_key.values() for a in nodes for b in nodes if a < b}
+    want = set()
+    for b in range(len(texts)):
+        for a in range(b):
+            differ = prints[a] != prints[b]
+            if differ.reshape(simhash.NEAR_SEGMENTS, -1).sum(1).min() <= 1 and differ[:128].sum() <= simhash.NEAR_MOST:
+                want.add((a, b))
+    assert want and want <= met
+    assert all(shingle_similarity(texts[a].split(), texts[b].split()) < 0.8 for b in range(len(texts)) for a in range(b) if (a, b) not in met)
+
+
+@pytest.mark.parametrize("shard_rows", [1000, 20])
+def test_crowds_of_near_copies_are_those_of_all_pairs(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
+    import random
+
+    r, rows = random.Random(3), []
+    for group, edits in ((0, 2), (1, 9)):
+        base = [f"g{group}w{i}" for i in range(150)]
+        for copy in range(70):
+            words = list(base)
+            for i in r.sample(range(150), r.randint(0, edits)):
+                words[i] = f"x{group}y{copy}z{i}"
+            rows.append(" ".join(words))
+    rows.append(" ".join(rows[0].split()[:135]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    fingerprinted = spark.createDataFrame([(i, bytearray(simhash.shingle_fingerprint(t))) for i, t in enumerate(dict.fromkeys(rows))], "node long, _fp binary")
+    assert simhash.near_members(fingerprinted).where("crowd").count() > 0
+    root = groups(rows, lambda a, b: shingle_similarity(a.split(), b.split()) >= 0.8)
+    assert {d.doc_id for d in simhash.drop_near_duplicates(docs).collect()} == set(root)
