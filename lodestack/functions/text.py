@@ -6,6 +6,7 @@ Java's ``\\s`` and ``\\w`` are ASCII-only, so Unicode-aware patterns carry ``(?U
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from html.entities import html5
 
@@ -99,10 +100,9 @@ def strip_volatile(c: Column, patterns: list[str]) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, p, ""), patterns, c)
 
 
-def content_hash(raw: Column, kind: Column, patterns: list[str] = ()) -> Column:
-    """SHA-256 of the normalised text of HTML or XML with 200 characters or more, else of the bytes."""
-    cleaned = strip_volatile(raw, list(patterns))
-    text = ws_only(html_to_text(cleaned))
+def content_hash(raw: Column, kind: Column, patterns: list[str] = (), extract: Callable[[Column], Column] = lambda c: ws_only(html_to_text(c))) -> Column:
+    """SHA-256 of the normalised text of HTML or XML with 200 characters or more, else of the bytes; ``extract`` gives that text."""
+    text = extract(strip_volatile(raw, list(patterns)))
     markup = kind.isin("html", "xml") & (F.length(text) >= HASH_LEAST)
     return F.when(markup, F.sha2(text.cast("binary"), 256)).otherwise(F.sha2(raw.cast("binary"), 256))
 

@@ -172,6 +172,21 @@ def test_drift_of_short_pages_equals_sql(spark, tmp_path, name):
     assert digest == hashlib.sha256(rows[0][2].encode()).hexdigest()
 
 
+@pytest.mark.parametrize("name", ["stream_drift", "drift_compare"])
+def test_drift_of_odd_pages_equals_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    odd = ["cut &quot</p>", "&eacute;&#233;&AMP;&amp;lt;&amp", "a\x0bb\x85c\u2028d\u3000e", "\u3000", "<\u017fcript>gone</scrIpt>", "<style>a</script>b</style>", "&nbsp;\xa0 \t&#39;&apos;&copy&middot;"]
+    pages = [f"{o}<p>{'many words here ' * n}{o}" for n in (1, 20) for o in odd] + [None]
+    urls = ["https://h.org/1", "http://user@h.org:8/", "http://under_score.org?q", "http://exämple.org/a b|c", "HTTP://H.ORG/", "ftp://h.org", "http://www.[h].org#x", "", None]
+    rows = [(i, urls[i % len(urls)], pages[i % len(pages)]) for i in range(1, 1 + len(urls) * len(pages))]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(path)
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from read_parquet('{path}/*.parquet')")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, db.execute(f"select {', '.join(got.columns)} from ({registry.ORACLE_SQL[name]})").fetchall()))
+
+
 def test_watched_values(spark):
     rows = [('{"k": 1, "c": [{"n": 2}]}',), ('{"c": []}',), ("[]",), ("{",), ('{"k": null, "c": [{"n": 1}]}',)]
     got = [r.w.status for r in spark.createDataFrame(rows, "p string").select(drift.watched_digest(F.col("p"), ["k", "c[].n"]).alias("w")).collect()]
